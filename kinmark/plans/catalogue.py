@@ -1,0 +1,9 @@
+"""The registered queries, and the SQL that each is checked against."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
