@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_text_batches
 from .pieces import CACHE, ODD
 
 
@@ -137,12 +138,12 @@ class Codec:
         new: set[str] = set()
         for pieces in cut:
             new.update(pieces)
-        if len(self.pieces) + len(new) > CACHE:
+        if len(self.pieces) + len(new) > CACHE // 2:
             self.pieces = {}
         new -= self.pieces.keys()
         matches = {p: self.match(p) for p in new}
         words = {w for m in matches.values() for w in m}
-        if len(self.words) + len(words) > CACHE:
+        if len(self.words) + len(words) > CACHE // 2:
             self.words = {}
         unseen = sorted(words - self.words.keys())
         for w, ids in zip(unseen, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in unseen]), strict=True):
@@ -171,6 +172,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 ids = codec.encode(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
+    whole_text_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 BASE = 0x9E3779B97F4A7C15
 BASE2 = 0xD1B54A32D192ED03
 #: Bytes of text that are hashed at a time; eight-byte arrays of this length are the largest ones held.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: White space of the word contracts: [\x20\x09-\x0D].
 SPACES = np.zeros(256, np.bool_)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -54,8 +54,16 @@ def n_partitions(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def whole_text_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows at most, for the rest of the session: workers hold whole texts, a batch at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under names of its own; other columns can't clash."""
+    whole_text_batches(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
@@ -144,6 +152,22 @@ def gram_hashes(words: np.ndarray, size: int, base: int = BASE, salt: int = 0) -
     return mixed(out, salt)
 
 
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, salt: int) -> np.ndarray:
+    """The hash of each given run of words [start, end), the length included."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(i + 1, int(np.searchsorted(starts, lo + BLOCK)))
+        part = words[lo : int(ends[i:j].max())]
+        power, inverse = powers(base, len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(mixed(part, salt) * power[: len(part)], out=total[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
+        i = j
+    return mixed(out, salt)
+
+
 class Chunk:
     """Some texts of a batch, their words hashed together: words of text i are [first[i], first[i + 1])."""
 

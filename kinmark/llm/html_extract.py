@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import whole_text_batches
+
 #: Common words of four languages, for stop-word density.
 STOP = [
     frozenset("the of and a to in is it that for on was with as be at by this are or an from but not have has had his her they you we which one all would there their what so if about who get".split()),
@@ -202,6 +204,7 @@ def main_text(page: str | None) -> str:
 
 def extract(df: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url"), text_col: str = "text") -> DataFrame:
     """The columns in keep and the main text of each whole page; no shuffle."""
+    whole_text_batches(df.sparkSession)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("__html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,11 @@ import re
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 1_000_000
+#: How the byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100 on in order.
+SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: Marks that make up one match after letters; the apostrophe, which begins matches of its own, isn't one.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
 ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 
 
@@ -38,8 +42,9 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.one = [np.array([i], self.dtype).tobytes() for i in range(self.library.get_vocab_size())]
         self.bare, self.spaced, self.line = Cache(self.piece), Cache(self.piece, " "), self.whole("\n")
-        self.marks = {m: self.whole(m) for m in ".,"}
+        self.model = self.library.model
 
     @classmethod
     def of(cls, path: str) -> LibraryEncoder:
@@ -51,10 +56,15 @@ class LibraryEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def piece(self, text: str) -> bytes:
-        mark = text[-1:]
-        if mark in self.marks and text.lstrip(" ")[:-1].isalpha():  # letters, then one mark: two matches
-            cache = self.spaced if text[0] == " " else self.bare
-            return cache[text.lstrip(" ")[:-1]] + self.marks[mark]
+        lead = " " if text[:1] == " " else ""
+        base = text[len(lead) :]
+        if base.isalpha():  # one match: straight to the library's merges
+            shown = lead and SHOWN[32]
+            shown += base if base.isascii() else base.encode().decode("latin-1").translate(SHOWN)
+            return b"".join([self.one[t.id] for t in self.model.tokenize(shown)])
+        letters = base.rstrip(MARKS)
+        if letters != base and letters.isalpha():  # letters, then marks: two matches
+            return (self.spaced if lead else self.bare)[letters] + self.bare[base[len(letters) :]]
         return self.whole(text)
 
     def encode(self, text: str) -> bytes:

@@ -1,15 +1,20 @@
 """Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into removal intervals.
 
-Every window of `window` consecutive words gets a 128-bit rolling hash. A window is a repeat if the same words also
-start in a document with a smaller id; the words under repeats go. Three steps:
+Every window of `window` consecutive words gets a rolling hash. A window is a repeat if the same words also start in a
+document with a smaller id; the words under repeats go. Four steps:
 
 1. Sieve. Inside each window, the smallest hash of its runs of (window + 1) // 2 words is its anchor, which equal
    windows share. Anchors are about one word in thirteen; those found in one document only can't hold a repeat.
    The others set bits in a bitmap of fixed size, which is all that is broadcast.
-2. Count. The hashes of all windows whose anchor passes are counted in Spark: the smallest id for each (combined
-   before the shuffle), joined back to the windows. A full bitmap lets every window through, which costs shuffle
-   but changes no result.
-3. Merge. The repeats of a document join into maximal intervals, which are cut from the whole text.
+2. Stretches. The windows of a document that have one anchor make up a stretch of text. Stretches are counted by a
+   128-bit hash: the smallest id for each, combined before the shuffle. A stretch that is whole in a smaller id is all
+   repeats, so groups of copies of any size cost a row a stretch.
+3. Windows. Where an anchor has several stretches, these may overlap in part. For the first document of each of them
+   (a second bitmap), every window's hash and its anchor are counted likewise. A window's smallest id is that of the
+   first of the stretches that hold it, so no repeat is lost.
+4. Merge. The repeats of a document join into maximal intervals, which are cut from the whole text.
+
+A full bitmap lets everything through, which costs shuffle but changes no result; its size is a parameter.
 
 Nulls: a null text has no words; a null id is unordered, so its text is returned whole and takes nothing from others.
 Empty texts and texts shorter than a window lose nothing. Rows that repeat an id are each judged against smaller ids
@@ -47,8 +52,13 @@ def _anchors(words: np.ndarray, room: np.ndarray, window: int) -> tuple[np.ndarr
     return first, at, grams
 
 
+def _firsts_hash(c1: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    return C.mixed(c1.view(np.uint64) ^ C.mixed(ids.view(np.uint64)))
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, sieve_bits: int = SIEVE_BITS) -> DataFrame:
-    """(doc_id, text_key, starts): for each text, the first words of windows that start in a smaller id too."""
+    """(doc_id, text_key, runs): for each text, runs (start, n) of n windows in a row that start in a smaller id too."""
+    spread = docs.sparkSession.sparkContext.broadcast
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,34 +71,74 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, sieve_bits: int = SI
     own = docs.filter("doc_id is not null")
     anchors = own.mapInArrow(anchor_rows, "anchor long, doc_id long")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
-    sieve = docs.sparkSession.sparkContext.broadcast(C.bitmap_of(shared, "anchor", sieve_bits))
+    sieve = spread(C.bitmap_of(shared, "anchor", sieve_bits))
+
+    def stretches(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Of each chunk: its words, and its stretches' anchors, hashes, rows of the batch, first windows and numbers of windows."""
+        for c in C.chunks(batch.column("text").to_pylist()):
+            words = c.hashes()
+            first, at, grams = _anchors(words, c.room(), window)
+            if not len(first):
+                continue
+            new = np.ones(len(first), bool)
+            new[1:] = (at[1:] != at[:-1]) | (first[1:] != first[:-1] + 1)
+            begin = np.flatnonzero(new)
+            n = np.diff(np.append(begin, len(first)))
+            lo, anchor = first[begin], grams[at[begin]]
+            live = C.in_bitmap(sieve.value, anchor)
+            lo, n, anchor = lo[live], n[live], anchor[live]
+            if len(lo):
+                one, two = (C.run_hashes(words, lo, lo + n + window - 1, base, 3) for base in (C.BASE, C.BASE2))
+                yield c, words, anchor, one, two, np.asarray(c.rows)[c.owner()[lo]], lo, n
+
+    def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keys = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "text_key"))
+            for c, _, anchor, one, two, row, lo, n in stretches(batch):
+                start = (lo - c.first[c.owner()[lo]]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([C.signed(anchor), C.signed(one), C.signed(two), pa.array(ids[row]), pa.array(keys[row]), pa.array(start), pa.array(n.astype(np.int32))], ["anchor", "c1", "c2", "doc_id", "text_key", "start", "n"])
+
+    keyed = own.select("doc_id", "text", C.row_key())
+    rows = C.stored(keyed.mapInArrow(stretch_rows, "anchor long, c1 long, c2 long, doc_id long, text_key long, start int, n int"))
+    least = C.stored(rows.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("least")))
+    whole = rows.join(least, ["anchor", "c1", "c2"]).filter("least < doc_id").select("doc_id", "text_key", "start", "n")
+    several = least.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    firsts = least.join(several, "anchor").select("c1", "least")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([C.signed(_firsts_hash(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))))], ["h"])
+
+    torn = spread(C.bitmap_of(firsts.mapInArrow(hashed, "h long"), "h", sieve_bits))
 
     def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("doc_id", "text_key"))
-            for c in C.chunks(batch.column("text").to_pylist()):
-                words = c.hashes()
-                first, at, grams = _anchors(words, c.room(), window)
-                first = first[C.in_bitmap(sieve.value, grams[at])]
-                if len(first):
-                    owner = np.asarray(c.rows)[c.owner()[first]]
-                    one, two = C.gram_hashes(words, window), C.gram_hashes(words, window, C.BASE2, 1)
-                    start = (first - c.first[c.owner()[first]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([C.signed(one[first]), C.signed(two[first]), pa.array(ids[owner]), pa.array(keys[owner]), pa.array(start)], ["h1", "h2", "doc_id", "text_key", "start"])
-
-    rows = own.select("doc_id", "text", C.row_key()).mapInArrow(window_rows, "h1 long, h2 long, doc_id long, text_key long, start int")
-    least = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    repeats = rows.join(least, ["h1", "h2"]).filter("least < doc_id")
-    return repeats.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"))
-
-
-def intervals(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Maximal intervals [from, to) of words that the windows cover."""
-    if not len(starts):
-        return []
-    s = np.unique(starts)
-    cut = np.flatnonzero(np.diff(s) > window)
-    return list(zip(s[np.r_[0, cut + 1]].tolist(), (s[np.r_[cut, len(s) - 1]] + window).tolist(), strict=True))
+            for c, words, anchor, one, _, row, lo, n in stretches(batch):
+                live = C.in_bitmap(torn.value, _firsts_hash(one, ids[row]))
+                lo, n, row, anchor = lo[live], n[live], row[live], anchor[live]
+                if len(lo):
+                    each = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    start = (each - c.first[c.owner()[each]]).astype(np.int32)
+                    h, row = C.run_hashes(words, each, each + window, C.BASE2, 0), np.repeat(row, n)
+                    yield pa.RecordBatch.from_arrays([C.signed(h), C.signed(np.repeat(anchor, n)), pa.array(ids[row]), pa.array(keys[row]), pa.array(start)], ["h", "anchor", "doc_id", "text_key", "start"])
+
+    parts = keyed.mapInArrow(window_rows, "h long, anchor long, doc_id long, text_key long, start int")
+    earliest = parts.groupBy("h", "anchor").agg(F.min("doc_id").alias("least"))
+    part = parts.join(earliest, ["h", "anchor"]).filter("least < doc_id").select("doc_id", "text_key", "start", F.lit(1).alias("n"))
+    return whole.unionByName(part).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+
+
+def intervals(runs: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Maximal intervals [from, to) of words that runs (start, n) of windows cover."""
+    out: list[tuple[int, int]] = []
+    for start, n in sorted(runs):
+        end = start + n - 1 + window
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sieve_bits: int = SIEVE_BITS) -> DataFrame:
@@ -111,11 +161,11 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts = batch.column("starts").to_pylist()
+            runs = batch.column("runs").to_pylist()
             rows = []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 words = text.encode("utf-8", "surrogatepass").split()
-                gone = intervals(np.asarray(starts[i] or [], np.int64), window)
+                gone = intervals([(r["start"], r["n"]) for r in runs[i] or []], window)
                 kept, at = [], 0
                 for lo, hi in gone:
                     kept += words[at:lo]
@@ -125,7 +175,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             n, r, g, t, sha = zip(*rows, strict=True) if rows else ([],) * 5
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(g, pa.list_(pa.list_(pa.int32()))), pa.array(t, pa.string()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "removed", "kept_text", "kept_sha256"])
 
-    whole = sifted(False).select("doc_id", "text", F.lit(None).cast("array<int>").alias("starts"))
-    touched = sifted(True).join(repeats, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
+    whole = sifted(False).select("doc_id", "text", F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs"))
+    touched = sifted(True).join(repeats, ["doc_id", "text_key"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_words long, n_removed long, removed array<array<int>>, kept_text string, kept_sha256 string"
     return whole.mapInArrow(cut, schema).unionByName(touched.mapInArrow(cut, schema))

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .common import whole_text_batches
 from .decontam import FOLD
 
 BITS, PREFIXES, DENSE = 20, (4, 5, 6, 7), 200
@@ -189,6 +190,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
 def score_column(df: DataFrame, model: Model, text: Column) -> Column:
     """The score of a text column, from 0 to 1; the model (under 1 MB) is broadcast."""
+    whole_text_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.Series:

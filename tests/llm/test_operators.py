@@ -91,8 +91,8 @@ def test_substring_dedup(spark, root):
 
 
 def test_intervals():
-    assert substring_dedup.intervals(np.array([7, 0, 1, 60, 57]), 50) == [(0, 110)]
-    assert substring_dedup.intervals(np.array([0, 51]), 50) == [(0, 50), (51, 101)]
+    assert substring_dedup.intervals([(7, 1), (0, 2), (60, 1), (57, 1)], 50) == [(0, 110)]
+    assert substring_dedup.intervals([(51, 3), (0, 1)], 50) == [(0, 50), (51, 103)]
 
 
 def brute_simhash(docs):
