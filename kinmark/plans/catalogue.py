@@ -1,9 +1,382 @@
-"""The registered queries, and the SQL that each is checked against."""
+"""The registered queries, and the SQL that each is checked against.
+
+Text and code queries run over whole `documents`; pairs are neighbouring ids. The service's tables are views of the
+star schema: an order is a submission, a fulfilled one has a report. Queries with LCS, syntax trees or alignment have no
+SQL that ends on whole texts; tests hold them against plain versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import code as K
+from ..functions import kernels, lexicon
+from ..functions import text as T
+from ..operators import candidates, semantic, service, similarity
+
+CODE = {
+    "add": "def add(a, b):\n    return a + b",
+    "add_renamed": "def plus(x, y):\n    return x + y",
+    "sum": "def sum(x, y):\n    result = x + y\n    return result",
+    "multiply": "def multiply(a, b):\n    return a * b",
+    "loop": "for i in range(10):\n    print(i)",
+    "long_one": "def f(a):\n    b = a + 1\n    c = b * 2\n    d = c - 3\n    return d\n",
+    "long_two": "def g(x):\n    y = x + 1\n    z = y * 2\n    w = z - 3\n    return w\n",
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.when(F.col("o_orderpriority") < "3", "code").otherwise("text")
+    status = F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "pending").otherwise("processing")
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), mode.alias("mode"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.pmod(F.col("o_orderkey") * 37, F.lit(1000)) / 1000
+    own = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("submission_id"), score.alias("final_similarity"))
+    parts = {f"{s}_score": F.col("final_similarity") if s == "jaccard" else F.lit(None).cast("double") for s in similarity.SCORES}
+    return own.withColumns({"risk_level": T.risk(F.col("final_similarity")), "language": F.lit("english"), **parts})
+
+
+def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", T.clean_text(F.col("text")).alias("clean"))
+
+
+def code_docs(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+    words = K.tokenize(K.clean_code(F.col("text"), F.lit(lang)), F.lit(lang))
+    return docs(spark, sf_dir).select("doc_id", words.alias("words"))
+
+
+def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_docs(spark, sf_dir, "python").select("doc_id", K.normalize_names(F.col("words"), F.lit("python")).alias("words"))
+
+
+def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalized(spark, sf_dir).select(F.col("doc_id").alias("id"), "words", K.winnow(K.hashes(K.kgrams(F.col("words")))).alias("prints"))
+
+
+def text_clean(spark, sf):
+    return clean(spark, sf)
+
+
+def text_tokens(spark, sf):
+    return clean(spark, sf).select("doc_id", F.posexplode(T.tokens(F.col("clean"))).alias("pos", "token"))
+
+
+def text_stopword_filter(spark, sf):
+    kept = T.without_stop_words(T.tokens(F.col("clean")))
+    return clean(spark, sf).select("doc_id", F.size(kept).alias("n"), F.array_join(kept, " ").alias("kept"))
+
+
+def text_jaccard(spark, sf):
+    d = docs(spark, sf)
+    sides = similarity.with_sides(similarity.neighbours(d), similarity.prepare_text(d), ["words"])
+    return sides.select("id_a", "id_b", T.rounded(T.jaccard(F.col("words_a"), F.col("words_b"))).alias("jaccard"))
+
+
+def text_lcs(spark, sf):
+    d = docs(spark, sf)
+    sides = similarity.with_sides(similarity.neighbours(d), similarity.prepare_text(d), ["words"])
+    return sides.select("id_a", "id_b", T.rounded(kernels.text_lcs(F.col("words_a"), F.col("words_b"))).alias("lcs"))
+
+
+def text_tfidf_cosine(spark, sf):
+    d = docs(spark, sf)
+    return similarity.tfidf_cosine(similarity.neighbours(d), similarity.prepare_text(d)).withColumn("cosine", T.rounded(F.col("cosine")))
+
+
+def text_report(spark, sf):
+    d = docs(spark, sf)
+    return similarity.text_report(similarity.neighbours(d), similarity.prepare_text(d))
+
+
+def risk_classify(spark, sf):
+    return reports(spark, sf).select("submission_id", "final_similarity", "risk_level")
+
+
+def lang_detect(spark, sf):
+    return docs(spark, sf).select("doc_id", K.detect_language(F.col("text")).alias("lang"))
+
+
+def code_clean_python(spark, sf):
+    return docs(spark, sf).select("doc_id", K.clean_code(F.col("text"), F.lit("python")).alias("clean"))
+
+
+def code_clean_c_like(spark, sf):
+    return docs(spark, sf).select("doc_id", K.clean_code(F.col("text"), F.lit("java")).alias("clean"))
+
+
+def _tokens_query(lang):
+    return lambda spark, sf: code_docs(spark, sf, lang).select("doc_id", F.size("words").alias("n"), F.array_join("words", " ").alias("words"))
+
+
+def code_normalize(spark, sf):
+    return normalized(spark, sf).select("doc_id", F.array_join("words", " ").alias("words"))
+
+
+def kgram_hash(spark, sf):
+    return normalized(spark, sf).select("doc_id", F.posexplode(K.hashes(K.kgrams(F.col("words")))).alias("pos", "hash"))
+
+
+def winnow_fingerprints(spark, sf):
+    return prints(spark, sf).select(F.col("id").alias("doc_id"), F.explode("prints").alias("fp"))
+
+
+def winnow_similarity(spark, sf):
+    sides = similarity.with_sides(similarity.neighbours(docs(spark, sf)), prints(spark, sf), ["words", "prints"])
+    score = K.winnow_similarity(*[F.col(c) for c in ("words_a", "words_b", "prints_a", "prints_b")])
+    return sides.select("id_a", "id_b", T.rounded(score).alias("winnowing"))
+
+
+def code_lcs(spark, sf):
+    sides = similarity.with_sides(similarity.neighbours(docs(spark, sf)), prints(spark, sf), ["words"])
+    return sides.select("id_a", "id_b", T.rounded(kernels.code_lcs(F.col("words_a"), F.col("words_b"))).alias("lcs"))
+
+
+def snippet_pairs(spark):
+    rows = [(i * 10 + j, a, b, CODE[a], CODE[b]) for i, a in enumerate(CODE) for j, b in enumerate(CODE) if i <= j]
+    return spark.createDataFrame(rows, "pair_id long, a string, b string, code_a string, code_b string")
+
+
+def ast_edit_similarity(spark, sf):
+    """Source strings stand for sequences that are written one character a node."""
+    pairs = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
+    return pairs.select("key", T.rounded(K.sequence_distance(F.col("a"), F.col("b"))).alias("likeness"))
+
+
+def _nodes(spark):
+    lang = F.lit("python")
+    return snippet_pairs(spark).select("pair_id", "a", "b", kernels.ast_nodes("code_a", lang).alias("na"), kernels.ast_nodes("code_b", lang).alias("nb"))
+
+
+def ast_ngram_jaccard(spark, sf):
+    x, y = F.col("na"), F.col("nb")
+    return _nodes(spark).select("pair_id", "a", "b", T.rounded(similarity.ast_likeness(x, y)).alias("ngrams"), T.rounded(similarity.ast_likeness(x, y, 1)).alias("types"))
+
+
+def code_score_same_lang(spark, sf):
+    d = docs(spark, sf)
+    return similarity.code_report(similarity.neighbours(d), similarity.prepare_code(d, lang=F.lit("python")))
+
+
+def code_score_cross_lang(spark, sf):
+    """Every other document is read as Java, so neighbours differ in language."""
+    d = docs(spark, sf)
+    lang = F.when(F.pmod("doc_id", F.lit(2)) == 0, "python").otherwise("java")
+    return similarity.code_report(similarity.neighbours(d), similarity.prepare_code(d, lang=lang))
+
+
+def unified_report(spark, sf):
+    d = docs(spark, sf)
+    both = similarity.neighbours(d).join(d.toDF("id_a", "text_a"), "id_a").join(d.toDF("id_b", "text_b"), "id_b")
+    mode = F.when(F.pmod("id_a", F.lit(2)) == 0, "text").otherwise("code")
+    return similarity.unified_report(both.select(F.col("id_a").alias("pair_id"), mode.alias("mode"), "text_a", "text_b"))
+
+
+def near_duplicate_pairs(spark, sf):
+    out = candidates.near_duplicate_links(candidates.shingle_prints(docs(spark, sf)))
+    return out.withColumn("similarity", T.rounded(F.col("similarity")))
+
+
+def near_duplicate_classes(spark, sf):
+    return candidates.near_duplicates(candidates.shingle_prints(docs(spark, sf)))
+
+
+def benchmark_contamination(spark, sf):
+    items = candidates.shingle_prints(table(spark, sf, "benchmark"), "item_id")
+    return candidates.shared_prints(candidates.shingle_prints(docs(spark, sf)), items)
+
+
+def embedding_cosine_topk(spark, sf):
+    return semantic.cosine_topk(table(spark, sf, "embeddings"))
+
+
+def embedding_normalize(spark, sf):
+    v = table(spark, sf, "embeddings").select("vec_id", semantic.normalized(F.col("embedding")).alias("v"))
+    return v.select("vec_id", F.size("v").alias("n"), T.rounded(semantic.dot(F.col("v"), F.col("v"))).alias("norm"), T.rounded(F.col("v")[0]).alias("v0"))
+
+
+def local_alignment_blocks(spark, sf):
+    blocks = F.explode(kernels.alignment_blocks("code_a", "code_b", F.lit("python")))
+    return snippet_pairs(spark).select("pair_id", "a", "b", blocks.alias("x")).select("pair_id", "a", "b", "x.*")
+
+
+def history_page(spark, sf):
+    rows = service.history(submissions(spark, sf), reports(spark, sf), mode="text", risk="bogus")
+    return service.page(rows, 3).select("id", "user_id", "mode", "status", "created_at", "final_similarity", "risk_level")
+
+
+def history_count(spark, sf):
+    return service.history_count(submissions(spark, sf), reports(spark, sf), risk="HIGH")
+
+
+def daily_quota(spark, sf):
+    events = table(spark, sf, "events").select("user_id", F.col("ts").alias("created_at"))
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") == "BUILDING", "pro").otherwise("free").alias("plan"))
+    return service.daily_quota(events, users).withColumn("day", F.col("day").cast("string"))
+
+
+def rate_limit_window(spark, sf):
+    return service.rate_windows(table(spark, sf, "events"))
+
+
+def status_latest(spark, sf):
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("processing")
+    events = table(spark, sf, "events").select(F.col("user_id").alias("submission_id"), status.alias("status"), F.nullif("event_type", F.lit("")).alias("error_message"), "ts")
+    return service.latest_status(events)
+
+
+def delete_cascade(spark, sf):
+    gone = submissions(spark, sf).filter("status = 'completed' and mode = 'code'").select("id")
+    subs, reps = service.without_submissions(submissions(spark, sf), reports(spark, sf), gone)
+    return subs.select(F.lit("submission").alias("kind"), "id").unionByName(reps.select(F.lit("report").alias("kind"), F.col("submission_id").alias("id")))
+
+
+def report_detail(spark, sf):
+    out = service.report_detail(submissions(spark, sf), reports(spark, sf))
+    return out.select("id", "status", F.col("scores.jaccard").alias("jaccard"), F.col("scores.ast").alias("ast"), "final_similarity", "risk_level")
+
+
+def user_history(spark, sf):
+    users = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    return service.users_with_submissions(users, submissions(spark, sf))
+
+
+def extension_filter(spark, sf):
+    path = F.concat(F.col("p_name"), F.lit("."), F.when(F.pmod("p_partkey", F.lit(3)) == 0, "PY").when(F.pmod("p_partkey", F.lit(3)) == 1, "docx").otherwise("exe"))
+    files = table(spark, sf, "part").select("p_partkey", path.alias("path"))
+    return files.select("p_partkey", service.extension(F.col("path")).alias("ext"), service.accepted(F.col("path"), F.lit("code")).alias("code"), service.accepted(F.col("path"), F.lit("text")).alias("text"))
+
+
+def percent_labels(spark, sf):
+    r = reports(spark, sf)
+    return r.select("submission_id", (F.floor(F.col("final_similarity") * 100 + 0.5)).cast("long").alias("bar"), service.bar_colour(F.col("final_similarity")).alias("colour"))
 
 
 def queries() -> dict:
-    return {}
+    plain = [
+        text_clean, text_tokens, text_stopword_filter, text_jaccard, text_lcs, text_tfidf_cosine, text_report, risk_classify, lang_detect, code_clean_python, code_clean_c_like,
+        code_normalize, kgram_hash, winnow_fingerprints, winnow_similarity, code_lcs, ast_edit_similarity, ast_ngram_jaccard, code_score_same_lang, code_score_cross_lang, unified_report,
+        near_duplicate_pairs, near_duplicate_classes, benchmark_contamination, embedding_cosine_topk, embedding_normalize, local_alignment_blocks, history_page, history_count,
+        daily_quota, rate_limit_window, status_latest, delete_cascade, report_detail, user_history, extension_filter, percent_labels,
+    ]
+    return {f.__name__: f for f in plain} | {f"code_tokens_{lang}": _tokens_query(lang) for lang in lexicon.LEXERS}
+
+
+def _list(words) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+def _sum(column: str, words) -> str:
+    return " + ".join(f"CAST(contains({column}, '{w}') AS INT)" for w in words)
+
+
+def _round(x: str, digits: int = 4) -> str:
+    return f"floor(({x}) * {10.0**digits} + 0.5) / {10.0**digits}"
+
+
+CLEAN = r"clean AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s'']', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM documents)"
+WORDS = CLEAN + ", words AS (SELECT doc_id, list_filter(string_split(clean, ' '), lambda t: t <> '') AS words FROM clean)"
+KEPT = WORDS + f", kept AS (SELECT doc_id, list_filter(words, lambda t: t NOT IN ({_list(lexicon.STOP_WORDS)})) AS kept FROM words)"
+PYTHON = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\"{3}.*?\"{3}', '', 'g'), '(?s)''{3}.*?''{3}', '', 'g'), '(?m)#.*?$', '', 'g'), '\s+', ' ', 'g'))"""
+C_LIKE = r"""trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*?$', '', 'g'), '\s+', ' ', 'g'))"""
+LEXED = f"lexed AS (SELECT doc_id, regexp_extract_all({PYTHON}, '{lexicon.LEXERS['python']}') AS w FROM documents)"
+NAMED = (
+    LEXED
+    + f""", flat AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM lexed),
+named AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS i FROM flat WHERE regexp_matches(t, '{lexicon.IDENTIFIER}') AND t NOT IN ({_list(lexicon.PYTHON_KEYWORDS)}) GROUP BY doc_id, t),
+norm AS (SELECT flat.doc_id, flat.pos, CASE WHEN i IS NULL THEN flat.t ELSE 'var' || i END AS t FROM flat LEFT JOIN named ON flat.doc_id = named.doc_id AND flat.t = named.t)"""
+)
+HASHED = NAMED + ", grams AS (SELECT doc_id, pos, t || lead(t, 1) OVER w || lead(t, 2) OVER w AS g FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), h AS (SELECT doc_id, pos, md5(g) AS h FROM grams WHERE g IS NOT NULL)"
+_MIN = "least AS (SELECT doc_id, {pos} AS pos, min(h) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS fp, count(*) OVER (PARTITION BY doc_id) AS n FROM h), fps AS (SELECT DISTINCT doc_id, fp FROM least WHERE pos >= 3 OR n < 4 AND pos = n - 1)"
+WINNOWED = HASHED + ", " + _MIN.format(pos="pos")
+SETS = "SELECT a.doc_id AS id_a, b.doc_id AS id_b, {a} AS a, {b} AS b FROM {t} a JOIN {t} b ON b.doc_id = a.doc_id + 1"
+JACCARD = "CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END"
+SUBMISSIONS = "s AS (SELECT o_orderkey AS id, o_custkey AS user_id, CASE WHEN o_orderpriority < '3' THEN 'code' ELSE 'text' END AS mode, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'pending' ELSE 'processing' END AS status, o_orderdate AS created_at FROM orders), r0 AS (SELECT o_orderkey AS submission_id, (o_orderkey * 37 % 1000) / 1000 AS final_similarity FROM orders WHERE o_orderstatus = 'F'), r AS (SELECT *, CASE WHEN final_similarity < 0.3 THEN 'LOW' WHEN final_similarity < 0.5 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level FROM r0)"
+
+
+def _shingled(source: str, key: str) -> str:
+    cleaned = r"trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s'']', ' ', 'g'), '\s+', ' ', 'g'))"
+    grams = " || ' ' || ".join(["t", *[f"lead(t, {i}) OVER w" for i in range(1, 5)]])
+    return f"""{source}_w AS (SELECT {key} AS doc_id, list_filter(string_split({cleaned}, ' '), lambda t: t <> '') AS w FROM {source}),
+{source}_f AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM {source}_w),
+{source}_g AS (SELECT doc_id, pos, md5({grams} || ' ') AS h FROM {source}_f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+{source}_l AS (SELECT doc_id, pos, min(h) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS fp, count(*) OVER (PARTITION BY doc_id) AS n FROM {source}_g WHERE h IS NOT NULL),
+{source}_p AS (SELECT DISTINCT doc_id, fp FROM {source}_l WHERE pos >= 3 OR n < 4 AND pos = n - 1)"""
+
+
+NEAR = (
+    _shingled("documents", "doc_id")
+    + """, keyed AS (SELECT d.doc_id, coalesce(string_agg(fp, ',' ORDER BY fp), '') AS k FROM documents d LEFT JOIN documents_p p USING (doc_id) GROUP BY d.doc_id),
+cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM keyed),
+reps AS (SELECT p.doc_id, fp, count(*) OVER (PARTITION BY p.doc_id) AS n FROM documents_p p JOIN cls USING (doc_id) WHERE p.doc_id = class_id),
+links AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS s FROM reps a JOIN reps b ON a.fp = b.fp AND a.doc_id < b.doc_id GROUP BY ALL HAVING s >= 0.8)"""
+)
+
+
+def _cosine() -> str:
+    lemma = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in lexicon.LEMMAS.items())
+    k2 = repr(T.KAPPA * T.KAPPA)
+    return f"""WITH {WORDS}, u AS (SELECT doc_id, list_filter(regexp_extract_all(array_to_string(list_transform(words, lambda w: CASE w {lemma} ELSE w END), ' '), '[a-z0-9]{{2,}}'), lambda t: t NOT IN ({_list(lexicon.tfidf_stop_words())})) AS u FROM words),
+f AS (SELECT doc_id, unnest(u) AS t, unnest(range(len(u))) AS pos FROM u),
+two AS (SELECT doc_id, t || ' ' || lead(t) OVER (PARTITION BY doc_id ORDER BY pos) AS t FROM f),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, t FROM f UNION ALL SELECT doc_id, t FROM two WHERE t IS NOT NULL) GROUP BY ALL),
+sq AS (SELECT doc_id, sum(tf * tf) AS sq FROM tf GROUP BY doc_id),
+p AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+d AS (SELECT a.doc_id AS id_a, sum(a.tf * b.tf) AS dot, sum(a.tf * a.tf) AS sa, sum(b.tf * b.tf) AS sb FROM tf a JOIN tf b ON b.doc_id = a.doc_id + 1 AND a.t = b.t GROUP BY a.doc_id),
+x AS (SELECT p.id_a, p.id_b, dot, coalesce(sa, 0) AS sa, coalesce(sb, 0) AS sb, qa.sq AS qa, qb.sq AS qb FROM p LEFT JOIN d USING (id_a) LEFT JOIN sq qa ON qa.doc_id = p.id_a LEFT JOIN sq qb ON qb.doc_id = p.id_b)
+SELECT id_a, id_b, CASE WHEN qa IS NULL AND qb IS NULL THEN NULL WHEN dot IS NULL THEN 0.0 ELSE {_round(f"dot / (sqrt(CAST(sa AS DOUBLE) + CAST({k2} AS DOUBLE) * CAST(qa - sa AS DOUBLE)) * sqrt(CAST(sb AS DOUBLE) + CAST({k2} AS DOUBLE) * CAST(qb - sb AS DOUBLE)))")} END AS cosine FROM x"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    p, c, j = (_sum(x, w) for x, w in (("lower(text)", lexicon.PYTHON_SIGNALS), ("lower(text)", lexicon.CPP_SIGNALS), ("text", lexicon.JAVA_SIGNALS)))
+    sql = {
+        "text_clean": f"WITH {CLEAN} SELECT * FROM clean",
+        "text_tokens": f"WITH {WORDS} SELECT doc_id, CAST(unnest(range(len(words))) AS INT) AS pos, unnest(words) AS token FROM words",
+        "text_stopword_filter": f"WITH {KEPT} SELECT doc_id, CAST(len(kept) AS INT) AS n, array_to_string(kept, ' ') AS kept FROM kept",
+        "text_jaccard": f"WITH {KEPT}, x AS ({SETS.format(t='kept', a='list_distinct(a.kept)', b='list_distinct(b.kept)')}) SELECT id_a, id_b, {_round(JACCARD)} AS jaccard FROM x",
+        "text_tfidf_cosine": _cosine(),
+        "risk_classify": f"WITH {SUBMISSIONS} SELECT * FROM r",
+        "lang_detect": f"SELECT doc_id, CASE WHEN p >= c AND p >= j THEN 'python' WHEN c >= j THEN 'cpp' ELSE 'java' END AS lang FROM (SELECT doc_id, {p} AS p, {c} AS c, {j} AS j FROM documents)",
+        "code_clean_python": f"SELECT doc_id, {PYTHON} AS clean FROM documents",
+        "code_clean_c_like": f"SELECT doc_id, {C_LIKE} AS clean FROM documents",
+        "code_normalize": f"WITH {NAMED}, t AS (SELECT doc_id, string_agg(t, ' ' ORDER BY pos) AS words FROM norm GROUP BY doc_id) SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN t USING (doc_id)",
+        "kgram_hash": f"WITH {HASHED} SELECT doc_id, CAST(pos AS INT) AS pos, h AS hash FROM h",
+        "winnow_fingerprints": f"WITH {WINNOWED} SELECT * FROM fps",
+        "winnow_similarity": f"""WITH {WINNOWED}, t AS (SELECT doc_id, list(t) AS t FROM norm GROUP BY doc_id), f AS (SELECT doc_id, list(fp) AS f FROM fps GROUP BY doc_id),
+s AS (SELECT doc_id, coalesce(t, []) AS t, coalesce(f, []) AS f FROM documents LEFT JOIN t USING (doc_id) LEFT JOIN f USING (doc_id)),
+x AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, len(a.t) AS n, len(b.t) AS m, CASE WHEN least(len(a.t), len(b.t)) < 3 THEN list_distinct(a.t) ELSE a.f END AS a, CASE WHEN least(len(a.t), len(b.t)) < 3 THEN list_distinct(b.t) ELSE b.f END AS b FROM s a JOIN s b ON b.doc_id = a.doc_id + 1)
+SELECT id_a, id_b, {_round(f"CASE WHEN n = 0 AND m = 0 THEN 1.0 WHEN n = 0 OR m = 0 THEN 0.0 ELSE {JACCARD} END")} AS winnowing FROM x""",
+        "ast_edit_similarity": f"SELECT p_partkey AS key, {_round('greatest(0.0, 1 - levenshtein(p_name, p_brand) / greatest(length(p_name), length(p_brand)))')} AS likeness FROM part",
+        "near_duplicate_pairs": f"WITH {NEAR} SELECT id_a, id_b, {_round('s')} AS similarity FROM links",
+        "near_duplicate_classes": f"WITH {NEAR}, e AS (SELECT id, count(*) AS n FROM (SELECT id_a AS id FROM links UNION ALL SELECT id_b FROM links) GROUP BY id) SELECT doc_id, class_id, coalesce(n, 0) AS n_links FROM cls LEFT JOIN e ON e.id = class_id",
+        "benchmark_contamination": f"WITH {_shingled('documents', 'doc_id')}, {_shingled('benchmark', 'item_id')}, b AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM benchmark_p) SELECT d.doc_id, b.doc_id AS item_id, count(*) AS shared, {_round('count(*) / any_value(b.n)')} AS containment FROM documents_p d JOIN b USING (fp) GROUP BY d.doc_id, b.doc_id",
+        "embedding_cosine_topk": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, v, greatest(sqrt(list_inner_product(v, v)), 1e-10) AS n FROM v),
+s AS (SELECT q.vec_id AS query_id, u.vec_id, {_round('least(greatest(list_inner_product(q.v, u.v) / (q.n * u.n), 0), 1)', 6)} AS similarity FROM u q JOIN u ON q.vec_id <> u.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INT) AS rank, similarity FROM s QUALIFY rank <= 5""",
+        "embedding_normalize": f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, v, greatest(sqrt(list_inner_product(v, v)), 1e-10) AS n FROM v)
+SELECT vec_id, CAST(len(v) AS INT) AS n, {_round('list_inner_product(list_transform(v, lambda x: x / n), list_transform(v, lambda x: x / n))')} AS norm, {_round('v[1] / n')} AS v0 FROM u""",
+        "history_page": f"WITH {SUBMISSIONS} SELECT id, user_id, mode, status, created_at, final_similarity, risk_level FROM s LEFT JOIN r ON submission_id = id WHERE mode = 'text' ORDER BY created_at DESC, id LIMIT 8 OFFSET 16",
+        "history_count": f"WITH {SUBMISSIONS} SELECT count(*) AS total, CAST(greatest(ceil(count(*) / 8), 1) AS BIGINT) AS pages FROM s JOIN r ON submission_id = id WHERE risk_level = 'HIGH'",
+        "daily_quota": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS n, count(*) >= 5 AND coalesce(any_value(c_mktsegment), '') <> 'BUILDING' AS blocked FROM events LEFT JOIN customer ON c_custkey = user_id GROUP BY user_id, CAST(ts AS DATE)",
+        "rate_limit_window": "SELECT user_id, date_trunc('minute', ts) AS start, count(*) AS n, count(*) > 20 AS over FROM events GROUP BY ALL",
+        "status_latest": """WITH e AS (SELECT user_id AS submission_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'processing' END AS status, nullif(event_type, '') AS error_message, ts FROM events)
+SELECT *, CASE status WHEN 'failed' THEN 'Analysis failed: ' || coalesce(error_message, 'Unknown error') WHEN 'completed' THEN 'Analysis complete' ELSE 'Analysis in progress' END AS message FROM e QUALIFY row_number() OVER (PARTITION BY submission_id ORDER BY ts DESC, status DESC) = 1""",
+        "delete_cascade": f"WITH {SUBMISSIONS}, g AS (SELECT id FROM s WHERE status = 'completed' AND mode = 'code') SELECT 'submission' AS kind, id FROM s ANTI JOIN g USING (id) UNION ALL SELECT 'report', submission_id FROM r ANTI JOIN g ON submission_id = g.id",
+        "report_detail": f"WITH {SUBMISSIONS} SELECT id, status, final_similarity AS jaccard, CAST(NULL AS DOUBLE) AS ast, final_similarity, risk_level FROM s LEFT JOIN r ON submission_id = id",
+        "user_history": "SELECT c_custkey AS id, count(o_orderkey) AS n_submissions, min(o_orderdate) AS first_at, max(o_orderdate) AS last_at FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+        "extension_filter": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.docx' ELSE '.exe' END AS ext, p_partkey % 3 = 0 AS code, p_partkey % 3 = 1 AS text FROM part",
+        "percent_labels": f"WITH {SUBMISSIONS}, b AS (SELECT submission_id, CAST(floor(final_similarity * 100 + 0.5) AS BIGINT) AS bar FROM r) SELECT *, CASE WHEN bar >= 50 THEN 'red' WHEN bar >= 30 THEN 'yellow' ELSE 'green' END AS colour FROM b",
+    }
+    for lang, pattern in lexicon.LEXERS.items():
+        sql[f"code_tokens_{lang}"] = f"WITH t AS (SELECT doc_id, regexp_extract_all({PYTHON if lang == 'python' else C_LIKE}, '{pattern}') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INT) AS n, array_to_string(w, ' ') AS words FROM t"
+    return sql
