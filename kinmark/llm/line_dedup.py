@@ -9,7 +9,7 @@ count. Documents come in batches of descending ids. For each batch:
 3. the batch becomes a run of level 0, sorted by key hash; `fanout` runs of a level are merged into one of the next.
 
 In the end all runs are merged; a key found in at least `min_docs` documents loses its lines except in the document
-with the largest id. All of it is DataFrame operations; runs and lines are Parquet in shared storage.
+with the largest id. Runs and lines are Parquet in shared storage.
 
 Null and empty texts have one empty line. A key is counted once for each row that holds it, so rows that repeat an id
 count like other documents, and all rows with the largest id keep the line. Rows with a null id are left as they are
@@ -18,6 +18,7 @@ and don't count. An empty table stays empty. Extra columns are dropped by line_d
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,12 +103,18 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int = M
 
 def without_lines(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, out_col: str = "kept_text", n_col: str = "n_lines", dropped_col: str = "n_dropped", hashes: str = "gone") -> DataFrame:
     """df, all its columns, with the text that is left and the numbers of lines before and dropped."""
-    got = gone.select(F.col("doc_id").alias("__id"), F.col(hashes).alias("__gone"))
-    both = df.join(got, df[f"`{id_col}`"] == got["__id"], "left")
+    # texts that lose nothing needn't meet the hashes: a bitmap of ids, fixed at 1 MB, parts them off; the join is exact
+    sieve = df.sparkSession.sparkContext.broadcast(C.bitmap_of(gone.select(F.xxhash64("doc_id").alias("h")), "h", 23))
+    passes = F.pandas_udf(lambda h: pd.Series(C.in_bitmap(sieve.value, h.to_numpy().view("uint64"))), "boolean")
+    may = df.withColumn("__may", passes(F.xxhash64(F.col(f"`{id_col}`").cast("long"))))
+    # the hashes grow with the input, so neither side is broadcast, at any size
+    got = gone.select(F.col("doc_id").alias("__id"), F.col(hashes).alias("__gone")).hint("merge")
+    touched = may.filter("__may").join(got, F.col(f"`{id_col}`") == F.col("__id"), "left")
+    both = may.filter("not __may").withColumns({"__id": F.lit(None).cast("long"), "__gone": F.lit(None).cast("array<string>")}).unionByName(touched)
     whole = lines(F.col(f"`{text_col}`"))
     kept = F.when(F.col("__gone").isNull(), whole).otherwise(F.filter(whole, lambda x: ~F.array_contains(F.col("__gone"), hashed(x))))
     both = both.withColumns({"__lines": F.size(whole).cast("long"), "__kept": kept})
-    return both.withColumns({out_col: F.array_join("__kept", "\n"), n_col: F.col("__lines"), dropped_col: F.col("__lines") - F.size("__kept")}).drop("__id", "__gone", "__lines", "__kept")
+    return both.withColumns({out_col: F.array_join("__kept", "\n"), n_col: F.col("__lines"), dropped_col: F.col("__lines") - F.size("__kept")}).drop("__id", "__gone", "__may", "__lines", "__kept")
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
