@@ -19,7 +19,6 @@ token ids. An empty table gives empty folders of the same schema.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import common as C
-from .pieces import LibraryEncoder
+from .pieces import LibraryEncoder, slices
 
 BLOCK_IDS = 1 << 15
 SCHEMA = "kind string, part int, block int, first_id long, n_ids int, width int, sizes array<int>, data binary, doc_id long, at long, n_tokens long, offset long, length int, first int"
@@ -70,14 +69,16 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
     """Encode every whole text, append end_id, and write the ids to `path` in ascending id order."""
     docs = C.id_text(df, id_col, text_col).withColumn("order", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     splits = C.id_splits(docs, C.n_partitions(docs), "order")
+    cuts = np.array(splits, np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = LibraryEncoder.of(tokenizer)
         tail = np.array([end_id], encoder.dtype).tobytes()
-        for batch in batches:
-            ids = [encoder.encode(t) + tail for t in batch.column("text").to_pylist()]
-            part = [bisect_right(splits, x) for x in batch.column("order").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column("order"), batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([encoder.dtype.itemsize] * len(ids), pa.int32())], ["part", "order", "doc_id", "ids", "width"])
+        for batch in slices(batches):
+            ids = encoder.encode(batch.column("text"), tail)
+            part = np.searchsorted(cuts, batch.column("order").to_numpy(), "right").astype(np.int32)
+            width = np.full(len(part), encoder.dtype.itemsize, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), batch.column("order"), batch.column("doc_id"), ids, pa.array(width)], ["part", "order", "doc_id", "ids", "width"])
 
     rows = docs.mapInArrow(encode, "part int, order long, doc_id long, ids binary, width int")
     rows = rows.repartitionById(len(splits) + 1, F.col("part")).sortWithinPartitions("part", "order", "ids")

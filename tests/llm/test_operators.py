@@ -6,10 +6,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 
-from kinmark.llm import bitplane, bpe, ctph, decontam, html_extract, line_dedup, queries, sharding, simhash, substring_dedup, toxicity
+from kinmark.llm import bitplane, bpe, ctph, decontam, html_extract, line_dedup, pieces, queries, sharding, simhash, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names clash with those that the operators give or use.
@@ -279,6 +280,25 @@ def test_planes_round_trip(plane, width):
         assert (bitplane.unpack(sizes, data, n, width) == ids).all()
 
 
+def test_pieces_encode_as_the_library():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), pieces.LibraryEncoder(path)
+    library.encode_special_tokens = True
+    gaps = [" ", "\n", "  ", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "'", "!"]
+    words = ["one", "we're", "é", "№5", "日本", "x...", "<|endoftext|>", "''s", "ß!'"]
+    texts = ["", *gaps, *(a + g + b for a in words for g in gaps for b in words), *(g + w for w in words for g in gaps), *(w + g for w in words for g in gaps), ""]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids + [7], "<u2").tobytes() for t in texts]
+    encoder.known.half = 40  # generations change all the time
+    column = pa.array(["before", *texts]).slice(1)
+    assert encoder.encode(column, b"\7\0").to_pylist() == want
+    batch = pa.RecordBatch.from_arrays([column], ["text"])
+    for size in (1, 50, 1 << 20):
+        parts = list(pieces.slices(iter([batch, batch.slice(0, 0), batch.slice(5)]), size=size))
+        assert [x for p in parts for x in p.column("text").to_pylist()] == texts + texts[5:]
+
+
 def test_small_blocks_round_trip(spark, awkward, tmp_path):
     docs = spark.read.parquet(f"{awkward}/documents.parquet")
     for plane in ("byte", "bit"):
