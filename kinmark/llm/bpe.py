@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by merge replay over a corpus of words.
 
-The distinct words of a batch that no earlier batch of the worker had make up a corpus: all their bytes stand in one
+The distinct words of a slice of rows that the worker doesn't know yet make up a corpus: all their bytes stand in one
 array of symbols, linked to their neighbours. An inverted index leads from a merge's rank to the positions of its
 pair. Ranks are replayed in order; a merge touches its two neighbours only, whose new pairs enter the index. Where a
 new pair ranks below the one being replayed it goes first, as it would in the tiktoken library. A word that is a token
@@ -19,12 +19,13 @@ from heapq import heappop, heappush
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text_batches
-from .pieces import CACHE, ODD
+from .pieces import WITHIN, Cache, gathered, slices
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,6 +33,10 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+#: Pairs and pieces that a worker remembers at most, and bytes of text whose unknown words are replayed together.
+PAIRS, KNOWN, SLICE = 200_000, 400_000, 1 << 22
+
+
 class Replay:
     """Encodes words by replaying merges over all of them at once."""
 
@@ -39,15 +44,16 @@ class Replay:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pair_rank: dict[tuple[int, int], int] = {}
+        self.pair_rank: dict[int, int] = {}
 
     def rank(self, a: int, b: int) -> int:
         """The rank of a pair's merge, or -1."""
-        got = self.pair_rank.get((a, b))
+        pair = a << 32 | b
+        got = self.pair_rank.get(pair)
         if got is None:
-            if len(self.pair_rank) > 1_000_000:
+            if len(self.pair_rank) > PAIRS:
                 self.pair_rank.clear()
-            got = self.pair_rank[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
+            got = self.pair_rank[pair] = self.ranks.get(self.token[a] + self.token[b], -1)
         return got
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
@@ -102,14 +108,13 @@ class Replay:
 
 
 class Codec:
-    """A rank file with its pattern, and the words and pieces met so far."""
+    """A rank file with its pattern, and the pieces and words met of late."""
 
     _held: dict[tuple[str, str], Codec] = {}
 
     def __init__(self, path: str, pattern: str):
         self.replay, self.match = Replay(load_ranks(path)), regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known = Cache(lambda x: self.ids_of([x])[0], KNOWN)
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
@@ -117,60 +122,42 @@ class Codec:
             cls._held[path, pattern] = cls(path, pattern)
         return cls._held[path, pattern]
 
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        """Pieces whose matches are those of the whole text; see the module `pieces`."""
-        if not text:
-            return []
-        if ODD.search(text):
-            return [text]
-        out = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if i:
-                out.append("\n")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each distinct piece; a match of a piece is a piece too."""
+        known = self.known
+        out = list(map(known.now.get, pieces))
+        new = {i: self.match(pieces[i]) for i, ids in enumerate(out) if ids is None and not known.has(pieces[i])}
+        fresh = {w: b"" for m in new.values() for w in m}
+        for w in fresh:
+            fresh[w] = known[w] if known.has(w) else b""
+        unseen = sorted(w for w, ids in fresh.items() if not ids)
+        for w, ids in zip(unseen, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in unseen]), strict=True):
+            fresh[w] = np.array(ids, "<u4").tobytes()
+            known.put(w, fresh[w])
+        for i, ids in enumerate(out):
+            if ids is None:
+                m = new.get(i)
+                out[i] = known[pieces[i]] if m is None else b"".join([fresh[w] for w in m])
+                # texts that stay whole have white space after their first character; they are not kept
+                if m is not None and len(m) > 1 and not WITHIN.search(pieces[i]):
+                    known.put(pieces[i], out[i])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(t) for t in texts]
-        new: set[str] = set()
-        for pieces in cut:
-            new.update(pieces)
-        if len(self.pieces) + len(new) > CACHE // 2:
-            self.pieces = {}
-        new -= self.pieces.keys()
-        matches = {p: self.match(p) for p in new}
-        words = {w for m in matches.values() for w in m}
-        if len(self.words) + len(words) > CACHE // 2:
-            self.words = {}
-        unseen = sorted(words - self.words.keys())
-        for w, ids in zip(unseen, self.replay.encode([w.encode("utf-8", "surrogatepass") for w in unseen]), strict=True):
-            self.words[w] = np.array(ids, "<u4").tobytes()
-        of = self.words
-        for p, m in matches.items():
-            self.pieces[p] = of[m[0]] if len(m) == 1 else b"".join([of[w] for w in m])
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+    def encode(self, column: pa.Array) -> pa.Array:
+        return gathered(column, self.ids_of)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.replay.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-#: Rows of a batch that are encoded together.
-GROUP = 1000
-
-
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids) of every whole text; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, GROUP):
-                part = batch.slice(lo, GROUP)
-                ids = codec.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+        for part in slices(batches, size=SLICE):
+            ids = codec.encode(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
 
     whole_text_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

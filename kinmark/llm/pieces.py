@@ -21,7 +21,6 @@ SLICE = 1 << 24
 SHOWN = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Marks that make up one match after letters; the apostrophe, which begins matches of its own, isn't one.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_{|}~"
-ODD = re.compile(r"[^\S \n]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 WITHIN = re.compile(r".\s", re.DOTALL)
 #: White space beyond ASCII by the number of its UTF-8 bytes, read as one big-endian number.
 WIDE = {n: np.array([int.from_bytes(c.encode(), "big") for c in map(chr, range(128, 0x3001)) if c.isspace() and len(c.encode()) == n]) for n in (2, 3)}
@@ -112,13 +111,19 @@ class Cache:
         found = self.now.get(piece)
         return self.add(piece) if found is None else found
 
+    def has(self, piece: str) -> bool:
+        return piece in self.now or piece in self.old
+
+    def put(self, piece: str, ids: bytes) -> None:
+        if len(self.now) >= self.half:
+            self.old, self.now = self.now, {}
+        self.now[piece] = ids
+
     def add(self, piece: str) -> bytes:
         found = self.old.get(piece)
         if found is None:
             found = self.encode(piece)
-        if len(self.now) >= self.half:
-            self.old, self.now = self.now, {}
-        self.now[piece] = found
+        self.put(piece, found)
         return found
 
 
