@@ -150,18 +150,22 @@ class Codec:
         return b"".join(map(self.replay.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids) of every whole text; no shuffle."""
+def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every whole text; no shuffle. With `decoded`, also the bytes that the ids stand for,
+    by the same worker: a separate decode() would have a second Python process for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
         for part in slices(batches, size=SLICE):
             ids = codec.encode(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), ids], ["doc_id", "n_tokens", "ids"])
+            columns = {"doc_id": part.column("doc_id"), "n_tokens": pc.divide(pc.binary_length(ids), 4).cast(pa.int64()), "ids": ids}
+            if decoded:
+                columns["decoded"] = pa.array([codec.decode(x) for x in ids.to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     whole_text_batches(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary" + ", decoded binary" * decoded)
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -436,3 +436,10 @@ def test_repeated_and_null_ids(spark, tmp_path, awkward):
         assert len(rows) == n + 7, name
         if name in ("op1_substring_dedup", "op2_simhash", "op4_decontamination", "op7_bpe"):
             assert {r[0]: tuple(r[1:]) for r in rows if r[0] is not None} == got(spark, name, awkward)[0], name
+
+
+def test_bpe_decode_alone(spark, awkward):
+    docs = spark.read.parquet(f"{awkward}/documents.parquet")
+    encoded = bpe.encode(docs, queries.MULTI_RANKS, public_tokenizers.PATTERN, decoded=True)
+    both = bpe.decode(encoded, queries.MULTI_RANKS, public_tokenizers.PATTERN, out_col="again")
+    assert both.count() == both.filter("decoded = again").count() == docs.count()
