@@ -16,6 +16,13 @@ def shingle_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return words.select("id", K.winnow(K.hashes(K.kgrams(spaced, shingle)), window).alias("prints"))
 
 
+def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(id, prints): the 64-bit hashes of all distinct runs of `shingle` cleaned words, none left out by winnowing."""
+    words = docs.select(F.col(id_col).alias("id"), T.tokens(T.clean_text(F.coalesce(F.col(text_col), F.lit("")))).alias("words"))
+    spaced = F.transform("words", lambda w: F.concat(w, F.lit(" ")))
+    return words.select("id", F.array_distinct(F.transform(K.kgrams(spaced, shingle), lambda g: F.xxhash64(g))).alias("prints"))
+
+
 def near_duplicate_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(id_a, id_b, similarity): pairs of classes of equal fingerprint sets whose Jaccard overlap is `least` or more.
 
@@ -40,7 +47,7 @@ def near_duplicate_links(prints: DataFrame, least: float = 0.8) -> DataFrame:
 
 def classes_of(prints: DataFrame) -> DataFrame:
     """(id, class_id, prints): ids with equal fingerprint sets, named by the smallest; an empty set is a class like others."""
-    keyed = prints.withColumn("key", F.md5(F.array_join(F.sort_array("prints"), ",").cast("binary")))
+    keyed = prints.withColumn("key", F.md5(F.array_join(F.sort_array("prints").cast("array<string>"), ",").cast("binary")))
     least = keyed.groupBy("key").agg(F.min("id").alias("class_id"))
     return keyed.join(least, "key").select("id", "class_id", "prints")
 

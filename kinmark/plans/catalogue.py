@@ -183,12 +183,12 @@ def unified_report(spark, sf):
 
 
 def near_duplicate_pairs(spark, sf):
-    out = candidates.near_duplicate_links(candidates.shingle_prints(docs(spark, sf)))
+    out = candidates.near_duplicate_links(candidates.shingle_sets(docs(spark, sf)))
     return out.withColumn("similarity", T.rounded(F.col("similarity")))
 
 
 def near_duplicate_classes(spark, sf):
-    return candidates.near_duplicates(candidates.shingle_prints(docs(spark, sf)))
+    return candidates.near_duplicates(candidates.shingle_sets(docs(spark, sf)))
 
 
 def benchmark_contamination(spark, sf):

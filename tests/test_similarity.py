@@ -169,6 +169,27 @@ def test_near_duplicates(spark):
     assert out == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (5, 0)}
 
 
+def test_near_duplicates_by_all_shingles(spark):
+    """Copies with a few replaced words: every link of plain shingle sets, with its similarity, and no other."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        base = [f"w{rng.randint(0, 400)}" for _ in range(rng.randint(60, 160))]
+        rows.append((4 * i, " ".join(base)))
+        for j in range(1, 4):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(1, 4)):
+                copy[at] = "new"
+            rows.append((4 * i + j, " ".join(copy)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] != sets[b]}
+    want = {k: x for k, x in want.items() if x >= 0.8}
+    links = lambda prints: {(r.id_a, r.id_b): r.similarity for r in candidates.near_duplicate_links(prints).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert links(candidates.shingle_sets(docs)) == want and len(want) > 20
+    assert links(candidates.shingle_prints(docs)).keys() != want.keys()
+
+
 def test_topk_in_blocks(spark, sf, monkeypatch):
     whole = sorted(map(tuple, semantic.cosine_topk(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()))
     monkeypatch.setattr(semantic, "BLOCK", 7)
