@@ -17,10 +17,18 @@ def shingle_prints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def shingle_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, prints): the 64-bit hashes of all distinct runs of `shingle` cleaned words, none left out by winnowing."""
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(T.clean_text(F.coalesce(F.col(text_col), F.lit("")))).alias("words"))
+    """(id, prints): the 64-bit hashes of all distinct runs of `shingle` cleaned words, none left out by winnowing.
+
+    A text of fewer words is one shingle: all its words or, without words or with letters or digits that cleaning drops, the
+    lower-cased text itself. So only equal short texts are alike, and no set is empty.
+    """
+    raw = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("raw"))
+    words = raw.select("id", "raw", T.tokens(T.clean_text(F.col("raw"))).alias("words"))
     spaced = F.transform("words", lambda w: F.concat(w, F.lit(" ")))
-    return words.select("id", F.array_distinct(F.transform(K.kgrams(spaced, shingle), lambda g: F.xxhash64(g))).alias("prints"))
+    lower = T.normalize_whitespace(F.lower("raw"))
+    short = F.when((F.size("words") == 0) | lower.rlike(r"[\p{L}\p{M}\p{N}&&[^\x00-\x7F]]"), lower).otherwise(F.array_join(spaced, ""))
+    runs = F.when(F.size("words") < shingle, F.array(short)).otherwise(K.kgrams(spaced, shingle))
+    return words.select("id", F.array_distinct(F.transform(runs, lambda g: F.xxhash64(g))).alias("prints"))
 
 
 def near_duplicate_links(prints: DataFrame, least: float = 0.8) -> DataFrame:

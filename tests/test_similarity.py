@@ -190,6 +190,13 @@ def test_near_duplicates_by_all_shingles(spark):
     assert links(candidates.shingle_prints(docs)).keys() != want.keys()
 
 
+def test_short_texts_share_a_class_only_if_equal(spark):
+    texts = ["Hello there", "hello, THERE!", "other words", "", None, "...", "你好世界", "你好朋友", "你好世界", "Москва online", "Париж online", "a b c d e", "a b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.class_id, r.n_links) for r in candidates.near_duplicates(candidates.shingle_sets(docs)).collect()}
+    assert out == {i: (c, 0) for i, c in enumerate([0, 0, 2, 3, 3, 5, 6, 7, 6, 9, 10, 11, 12])}
+
+
 def test_topk_in_blocks(spark, sf, monkeypatch):
     whole = sorted(map(tuple, semantic.cosine_topk(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()))
     monkeypatch.setattr(semantic, "BLOCK", 7)
