@@ -13,7 +13,8 @@ On pages with an article (or main) element, what lies outside it counts as furni
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by two line feeds.
 Null and empty pages have empty text. Rows are judged alone, so repeated rows are alike; an empty table stays empty.
-Unclosed and stray tags are tolerated: an end tag closes the nearest open element of its name, if there is one.
+Unclosed and stray tags are tolerated: an end tag closes the nearest open element of its name, if there is one. Content
+of buttons, svg, video and the like is left out only up to their own end tag; if that is missing, nothing is.
 """
 
 from __future__ import annotations
@@ -37,9 +38,14 @@ STOP = [
 ]
 #: Elements that break blocks.
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements without content, and elements whose content is not text of the page.
+#: Elements without content; those whose content is no markup and runs to the end of the page if need be; those
+#: whose content is not text of the page, as far as their own end tag; of the latter, those that end before another of their kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video", "title", "button")
+RAW = frozenset("script style textarea title".split())
+UNSEEN = frozenset("noscript template select svg iframe object canvas audio video button annotation annotation-xml".split())
+ALONE = frozenset("button select".split())
+#: Elements that end where another of their kind follows in the same parent.
+ENDED = frozenset("p li a option".split())
 #: Elements, roles and words of a class or id that mark boilerplate.
 FURNITURE = frozenset("nav footer aside form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -52,10 +58,9 @@ MARKS = frozenset(
 )
 SHORT, LONG, LINKED, FEW, MANY = 60, 100, 0.35, 0.08, 0.2
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r""")\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)""",
-    re.S | re.I,
-)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)""", re.S)
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_UNSEEN = re.compile(rf"<(?:{'|'.join(UNSEEN)})(?=[\s/>])", re.I)
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -86,13 +91,55 @@ def _furniture(tag: str, attrs: str, article: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[re.Match, str]]:
+    """Each tag, text or comment, and the tag's name in lower case; what RAW elements hold is left out."""
+    at = foreign = 0
+    while m := _TOKEN.match(page, at):
+        at, tag = m.end(), (m["tag"] or "").lower()
+        yield m, tag
+        closed = tag and m["attrs"].endswith("/")
+        if tag in ("svg", "math") and not closed:
+            foreign = max(0, foreign + (-1 if m["end"] else 1))
+        elif tag in RAW and not m["end"] and not (foreign and closed):  # only within svg and math a slash closes these
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+
+
+def unseen(page: str) -> dict[int, int]:
+    """Where UNSEEN elements begin and where their own end tags end; without one an element hides nothing."""
+    out: dict[int, int] = {}
+    if not _UNSEEN.search(page):
+        return out
+    open_tags: list[tuple[str, int]] = []
+    for m, tag in tokens(page):
+        if not tag or tag in RAW or tag in VOID:
+            continue
+        if m["end"]:
+            at = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), -1)
+            if at >= 0:
+                if tag in UNSEEN:
+                    out[open_tags[at][1]] = m.end()
+                del open_tags[at:]
+        elif not m["attrs"].endswith("/"):
+            if tag in ENDED and open_tags and open_tags[-1][0] == tag:
+                open_tags.pop()
+            elif tag in ALONE:
+                open_tags = [x for x in open_tags if x[0] != tag]
+            open_tags.append((tag, m.start()))
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, each with its text and what surrounds it."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool]] = []  # (tag, whether it is boilerplate)
     bad = article = links = items = 0
     now: Block | None = None
-    for m in _TOKEN.finditer(page):
+    hidden, until = unseen(page), 0
+    for m, tag in tokens(page):
+        until = max(until, hidden.get(m.start(), 0))
+        if m.start() < until:
+            continue
         text = m["text"]
         if text is not None:
             if now is None:
@@ -103,10 +150,8 @@ def blocks(page: str) -> list[Block]:
             if links:
                 now.linked += len(text.strip())
             continue
-        tag = m["tag"]
-        if tag is None:
+        if not tag or tag in RAW:
             continue
-        tag = tag.lower()
         if tag == "br":
             if now:
                 now.parts.append(" ")
@@ -123,7 +168,7 @@ def blocks(page: str) -> list[Block]:
                 links -= name == "a"
                 items -= name == "li"
         elif tag not in VOID and not m["attrs"].endswith("/"):
-            if tag in ("p", "li", "a", "option") and open_tags and open_tags[-1][0] == tag:  # these end before another of their kind
+            if tag in ENDED and open_tags and open_tags[-1][0] == tag:
                 name, marked = open_tags.pop()
                 bad, links, items = bad - marked, links - (name == "a"), items - (name == "li")
             marked = _furniture(tag, m["attrs"], article > 0)

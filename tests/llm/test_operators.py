@@ -380,6 +380,27 @@ def test_html():
     assert html_extract.main_text("<p>x") == "x" and html_extract.main_text("a < b") == "a < b"
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<video-player src='a'></video-player><p>Text</p>", "Text"),
+        ("<button-group>A</button-group><p>Text</p>", "A\n\nText"),
+        ("<svg class='x'/><p>Text</p>", "Text"),
+        ("<p>In <svg viewBox='0'><title/><path d='M0'/><text>no</text></svg>line</p>", "In line"),
+        ("<div><button>Go</div><p>Text</p>", "Go\n\nText"),
+        ("<button>A<p>Text</p><button>no</button><p>More</p>", "A\n\nText\n\nMore"),
+        ("<p>Take <select><option>no<option>no</select>one</p>", "Take one"),
+        ("<video src=a><p>Text</p>", "Text"),
+        ("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> has it</p>", "As x=2 has it"),
+        ("<object data=a>no</object><p>Text</p><script>no", "Text"),
+        ("<p>Text</p><noscript><p>no</p></noscript><iframe src=a></iframe><p>More</p>", "Text\n\nMore"),
+        ("<titlebar>A</titlebar><p>Text</p>", "A\n\nText"),
+    ],
+)
+def test_html_keeps_text_behind_media_and_controls(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_query(spark, sf, awkward):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for i, (_, text, n) in got(spark, "op9_html", sf)[0].items():
