@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 import re
 
 import numpy as np
@@ -14,6 +15,11 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 #: Aligned blocks: a score and the first and last lines on either side.
 BLOCKS = ArrayType(StructType().add("score", DoubleType()).add("file_a_region", ArrayType(IntegerType())).add("file_b_region", ArrayType(IntegerType())))
 
+#: Stand-ins for syntax nodes where there is no parser.
+MARKS = "class struct if else for while do switch case return try catch throw new { } ( ) ;".split()
+#: A character for each type of node.
+ALPHABET = {name: chr(0x4E00 + i) for i, name in enumerate([*MARKS, *sorted(n for n, x in vars(ast).items() if isinstance(x, type) and issubclass(x, ast.AST))])}
+
 
 def lcs_length(a, b) -> int:
     """Length of the longest common subsequence; a row of the table is the bits of one integer."""
@@ -71,43 +77,69 @@ def ast_nodes(code: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else node_types(c, x) for c, x in zip(code, lang, strict=True)])
 
 
-def align(a: list[tuple[str, int]], b: list[tuple[str, int]], match: int = 2, mismatch: int = -1, gap: int = -1, min_lines: int = 3, floor: float = 0.15, max_blocks: int = 10, cap: int = 8000) -> list[dict]:
+def node_chars(nodes: list[str] | None) -> str | None:
+    """One character for each node, so that edit distance counts nodes; None stays."""
+    return None if nodes is None else "".join(map(ALPHABET.__getitem__, nodes))
+
+
+@F.pandas_udf(StringType())
+def ast_chars(nodes: pd.Series) -> pd.Series:
+    return pd.Series([node_chars(x) for x in nodes], dtype=object)
+
+
+def align(a: list[tuple[str, int]], b: list[tuple[str, int]], match: int = 2, mismatch: int = -1, gap: int = -1, min_lines: int = 3, floor: float = 0.15, max_blocks: int = 10, cap: int | None = None) -> list[dict]:
     """Blocks of local alignment of (token, line) sequences, best first; rows and columns of a block are used up.
 
     A cell of used rows or columns is 0. The way back from the first highest cell goes along equal tokens, else up if the
-    cell above is higher than that to the left, else left.
+    cell above is higher than that to the left, else left. Of the table, about 2 sqrt(n) rows are held: every sqrt(n)-th, and
+    those between two of them, made again for the way back. `cap` takes the first tokens only, for parity with the reference.
     """
     a, b = a[:cap], b[:cap]
     n, m = len(a), len(b)
     code = {t: i for i, t in enumerate({t for t, _ in [*a, *b]})}
     x, y = np.array([code[t] for t, _ in a], int), np.array([code[t] for t, _ in b], int)
     free_a, free_b, out = np.ones(n, bool), np.ones(m, bool), []
-    ramp = np.arange(m + 1) * -gap
+    step_rows = math.isqrt(n) + 1
+    most = match * min(n, m) - gap * m + 1
     for _ in range(max_blocks if n and m else 0):
-        grid = np.zeros((n + 1, m + 1), np.int32)
-        for i in range(1, n + 1):
-            if not free_a[i - 1]:
-                continue
-            step = np.maximum(grid[i - 1, :-1] + np.where(y == x[i - 1], match, mismatch), grid[i - 1, 1:] + gap)
-            step = np.where(free_b, np.maximum(step, 0), 0)
-            row, lo = grid[i], 0
-            for hi in [*np.flatnonzero(~free_b).tolist(), m]:  # gaps from the left run between used columns only
-                if hi > lo:
-                    part = np.maximum.accumulate(step[lo:hi] + ramp[lo:hi]) - ramp[lo:hi]
-                    row[lo + 1 : hi + 1] = np.maximum(part, 0)
-                lo = hi + 1
-        top = int(grid.argmax())
-        i, j = divmod(top, m + 1)
-        share = grid[i, j] / (match * min(n, m))
-        if grid[i, j] <= 0 or share < floor:
+        ramp = np.arange(m) * -gap + np.cumsum(~free_b) * most  # gaps from the left run between used columns only
+
+        def below(above: np.ndarray, i: int) -> np.ndarray:
+            """Row i of the table, from 1, by the row above it."""
+            row = np.zeros(m + 1, np.int32)
+            if free_a[i - 1]:  # noqa: B023
+                step = np.maximum(above[:-1] + np.where(y == x[i - 1], match, mismatch), above[1:] + gap)
+                step = np.where(free_b, np.maximum(step, 0), 0)  # noqa: B023
+                row[1:] = np.where(free_b, np.maximum.accumulate(step + ramp) - ramp, 0)  # noqa: B023
+            return row
+
+        row = np.zeros(m + 1, np.int32)
+        kept, top, i, j = [row], 0, 0, 0
+        for r in range(1, n + 1):
+            row = below(row, r)
+            if r % step_rows == 0:
+                kept.append(row)
+            at = int(row.argmax())
+            if row[at] > top:
+                top, i, j = int(row[at]), r, at
+        share = top / (match * min(n, m))
+        if top <= 0 or share < floor:
             break
-        rows, columns = [], []
-        while i > 0 and j > 0 and grid[i, j] > 0:
+        rows, columns, part, first = [], [], [], -1
+        while i > 0 and j > 0:
+            if (i - 1) // step_rows * step_rows != first:
+                first = (i - 1) // step_rows * step_rows
+                part = [kept[first // step_rows]]
+                for r in range(first + 1, i + 1):
+                    part.append(below(part[-1], r))
+            here, above = part[i - first], part[i - 1 - first]
+            if here[j] <= 0:
+                break
             rows.append(i - 1)
             columns.append(j - 1)
             if x[i - 1] == y[j - 1]:
                 i, j = i - 1, j - 1
-            elif grid[i - 1, j] > grid[i, j - 1]:
+            elif above[j] > here[j - 1]:
                 i -= 1
             else:
                 j -= 1

@@ -92,6 +92,11 @@ def ast_likeness(a, b, n: int = 3):
     return F.when(a.isNull() | b.isNull(), 0.0).otherwise(T.jaccard(*grams))
 
 
+def ast_edit_likeness(a, b):
+    """Edit likeness of two node sequences written by kernels.ast_chars; 0 where a side can't be parsed."""
+    return F.when(a.isNull() | b.isNull(), 0.0).otherwise(K.sequence_distance(a, b))
+
+
 def code_report(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     """(id_a, id_b, lang_a, lang_b, winnowing, lcs, ast, final_similarity); ast only where both have one language."""
     nodes = prepared.withColumn("nodes", kernels.ast_nodes("code", "lang"))

@@ -147,20 +147,38 @@ def snippet_pairs(spark):
     return spark.createDataFrame(rows, "pair_id long, a string, b string, code_a string, code_b string")
 
 
+def code_pairs(spark, sf):
+    """(pair_id, a, b) of neighbouring documents, named by their ids, and (id, code) of each; without tables, of the snippets."""
+    if sf is None:
+        rows = snippet_pairs(spark)
+        sides = [rows.select((F.col("pair_id") * 2 + i).alias("id"), F.col(f"code_{x}").alias("code")) for i, x in enumerate("ab")]
+        return rows.select((F.col("pair_id") * 2).alias("id_a"), (F.col("pair_id") * 2 + 1).alias("id_b"), "pair_id", "a", "b"), sides[0].unionByName(sides[1])
+    d = docs(spark, sf)
+    pairs = similarity.neighbours(d).select("id_a", "id_b", F.col("id_a").alias("pair_id"), F.col("id_a").cast("string").alias("a"), F.col("id_b").cast("string").alias("b"))
+    return pairs, d.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("code"))
+
+
 def ast_edit_similarity(spark, sf):
     """Source strings stand for sequences that are written one character a node."""
     pairs = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("a"), F.col("p_brand").alias("b"))
     return pairs.select("key", T.rounded(K.sequence_distance(F.col("a"), F.col("b"))).alias("likeness"))
 
 
-def _nodes(spark):
-    lang = F.lit("python")
-    return snippet_pairs(spark).select("pair_id", "a", "b", kernels.ast_nodes("code_a", lang).alias("na"), kernels.ast_nodes("code_b", lang).alias("nb"))
+def _nodes(spark, sf):
+    """Pairs with the node sequences na and nb, made once a document."""
+    pairs, code = code_pairs(spark, sf)
+    nodes = code.select("id", kernels.ast_nodes("code", F.lit("python")).alias("n"))
+    return similarity.with_sides(pairs, nodes, ["n"]).withColumnsRenamed({"n_a": "na", "n_b": "nb"})
 
 
 def ast_ngram_jaccard(spark, sf):
     x, y = F.col("na"), F.col("nb")
-    return _nodes(spark).select("pair_id", "a", "b", T.rounded(similarity.ast_likeness(x, y)).alias("ngrams"), T.rounded(similarity.ast_likeness(x, y, 1)).alias("types"))
+    return _nodes(spark, sf).select("pair_id", "a", "b", T.rounded(similarity.ast_likeness(x, y)).alias("ngrams"), T.rounded(similarity.ast_likeness(x, y, 1)).alias("types"))
+
+
+def ast_node_edit_similarity(spark, sf):
+    chars = _nodes(spark, sf).select("pair_id", "a", "b", kernels.ast_chars("na").alias("ca"), kernels.ast_chars("nb").alias("cb"))
+    return chars.select("pair_id", "a", "b", T.rounded(similarity.ast_edit_likeness(F.col("ca"), F.col("cb"))).alias("likeness"))
 
 
 def code_score_same_lang(spark, sf):
@@ -206,8 +224,9 @@ def embedding_normalize(spark, sf):
 
 
 def local_alignment_blocks(spark, sf):
+    pairs, code = code_pairs(spark, sf)
     blocks = F.explode(kernels.alignment_blocks("code_a", "code_b", F.lit("python")))
-    return snippet_pairs(spark).select("pair_id", "a", "b", blocks.alias("x")).select("pair_id", "a", "b", "x.*")
+    return similarity.with_sides(pairs, code, ["code"]).select("pair_id", "a", "b", blocks.alias("x")).select("pair_id", "a", "b", "x.*")
 
 
 def history_page(spark, sf):
@@ -265,7 +284,7 @@ def percent_labels(spark, sf):
 def queries() -> dict:
     plain = [
         text_clean, text_tokens, text_stopword_filter, text_jaccard, text_lcs, text_tfidf_cosine, text_report, risk_classify, lang_detect, code_clean_python, code_clean_c_like,
-        code_normalize, kgram_hash, winnow_fingerprints, winnow_similarity, code_lcs, ast_edit_similarity, ast_ngram_jaccard, code_score_same_lang, code_score_cross_lang, unified_report,
+        code_normalize, kgram_hash, winnow_fingerprints, winnow_similarity, code_lcs, ast_edit_similarity, ast_ngram_jaccard, ast_node_edit_similarity, code_score_same_lang, code_score_cross_lang, unified_report,
         near_duplicate_pairs, near_duplicate_classes, benchmark_contamination, embedding_cosine_topk, embedding_normalize, local_alignment_blocks, history_page, history_count,
         daily_quota, rate_limit_window, status_latest, delete_cascade, report_detail, user_history, extension_filter, percent_labels,
     ]

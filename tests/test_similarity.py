@@ -161,6 +161,26 @@ def test_alignment():
         assert kernels.align(a, b) == slow_align(a, b)
 
 
+def test_alignment_of_whole_texts():
+    """The only common stretch lies behind 8000 tokens."""
+    a, b = ([(f"{x}{i % 50}", i // 10) for i in range(8100)] for x in "ab")
+    tail = [(f"t{i}", 900 + i // 10) for i in range(2000)]
+    assert [x["file_a_region"] for x in kernels.align(a + tail, b[:50] + tail)] == [[900, 1099]]
+    assert kernels.align(a + tail, b[:50] + tail, cap=8000) == []
+
+
+def test_code_queries_cover_documents(spark, tmp_path):
+    rows = [(1, catalogue.CODE["add"]), (2, catalogue.CODE["multiply"]), (3, catalogue.CODE["long_one"]), (4, catalogue.CODE["long_one"]), (5, "no code, this"), (7, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.pair_id: r for r in catalogue.ast_ngram_jaccard(spark, str(tmp_path)).collect()}
+    assert sorted(found) == [1, 2, 3, 4] and (found[1].ngrams, found[1].types) == (0.5385, 0.8) and found[3].ngrams == 1 and found[4].ngrams == 0
+    edits = {r.pair_id: r.likeness for r in catalogue.ast_node_edit_similarity(spark, str(tmp_path)).collect()}
+    assert (edits[1], edits[3], edits[4]) == (0.9167, 1, 0)
+    assert [(r.pair_id, r.score, r.file_a_region) for r in catalogue.local_alignment_blocks(spark, str(tmp_path)).filter("pair_id = 3").collect()] == [(3, 100, [1, 5])]
+    golden = {(r.a, r.b): r.likeness for r in catalogue.ast_node_edit_similarity(spark, None).collect()}
+    assert [golden["add", x] for x in ("sum", "multiply", "loop")] == [0.6471, 0.9167, 0.2857]
+
+
 def test_near_duplicates(spark):
     random.seed(2)
     base = [random.choice("abcdefghijklmnop") + str(random.randint(0, 50)) for _ in range(300)]
