@@ -46,9 +46,10 @@ def text_lcs(a: Column, b: Column) -> Column:
     return F.when(least == 0, 0.0).otherwise(lcs_len(a, b) / least)
 
 
-def code_lcs(a: Column, b: Column, cap: int = 8000) -> Column:
-    """Over the longer length, of the first `cap` tokens (part of the measure); 1 if both are empty, 0 if one is."""
-    a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
+def code_lcs(a: Column, b: Column, cap: int | None = None) -> Column:
+    """Over the longer length; 1 if both are empty, 0 if one is. `cap` takes the first tokens only, for parity with the reference."""
+    if cap is not None:
+        a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
     most, least = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
     return F.when(most == 0, 1.0).when(least == 0, 0.0).otherwise(lcs_len(a, b) / most)
 

@@ -81,6 +81,11 @@ def test_lcs_scores(spark):
     assert list(row) == [0.0, 1.0, 0.0, 1.0]
 
 
+def test_code_lcs_of_whole_lists(spark):
+    x, y = (F.concat(F.array_repeat(F.lit(t), 8000), F.array_repeat(F.lit("c"), 2000)) for t in "ab")
+    assert list(one(spark, kernels.code_lcs(x, y), kernels.code_lcs(x, y, 8000))) == [0.2, 0]
+
+
 def test_lexers(spark):
     tok = lambda c, lang: K.tokenize(K.clean_code(F.lit(c), F.lit(lang)), F.lit(lang))
     row = one(spark, tok('a<=b->c::d && 12.5 "x y"', "cpp"), K.normalize_names(tok("def add(a, b): return a + b", "python"), F.lit("python")), K.clean_code(F.lit("a # x\rb\nc"), F.lit("python")), K.clean_code(F.lit("a /* b\n c */ d // e\nf"), F.lit("java")))
