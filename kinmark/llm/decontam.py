@@ -12,7 +12,7 @@ blocks, a document's findings in each are brought together by its id.
 
 Words: A-Z lower-cased, then runs of letters a-z, digits and non-ASCII characters. Null and empty texts have no words:
 such a document is clean, such an item is in no document. Repeated rows and ids are each judged alone; items that share
-an id count once. Empty tables: no documents, or all of them clean. Other columns aren't read.
+an id count once. An item without an id hits like others, but has no name to be listed or counted. Empty tables: no documents, or all of them clean. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,8 +37,8 @@ FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 o
 class Index:
     """The windows of one block of the benchmark, by hash, with the items that have each."""
 
-    def __init__(self, items: dict[str, list[str]], window: int):
-        self.window, self.ids = window, sorted(items)
+    def __init__(self, items: dict[str | None, list[str]], window: int):
+        self.window, self.ids = window, sorted(items, key=lambda x: (x is None, x))  # no name comes last
         texts, codes = [], []
         for code, name in enumerate(self.ids):
             texts += items[name]
@@ -137,7 +137,8 @@ def _match(docs: DataFrame, index) -> DataFrame:
                             covered[rows[i]].append([lo - int(c.first[i]), end - int(c.first[i])])
                             lo = end
                     for p in np.unique(np.concatenate(pairs)).tolist():
-                        items[rows[p // len(ix.ids)]].append(ix.ids[p % len(ix.ids)])
+                        if (name := ix.ids[p % len(ix.ids)]) is not None:
+                            items[rows[p // len(ix.ids)]].append(name)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(n_words), pa.array(covered, pa.list_(pa.list_(pa.int32()))), pa.array(items, pa.list_(pa.string()))],
                 ["doc_id", "text_key", "n_words", "spans", "items"],
@@ -160,12 +161,12 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     """(doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) for every row of df."""
     spark = df.sparkSession
     docs = C.id_text(df, id_col, text_col).select("doc_id", "text", C.row_key())
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text")).filter("item is not null")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     parts = []
     for i in range(blocks):
         held: dict[str, list[str]] = {}
-        for row in items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == i).toLocalIterator():
+        for row in items.filter(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == i).toLocalIterator():
             held.setdefault(row["item"], []).append(row["text"])
         parts.append(_match(docs, spark.sparkContext.broadcast(Index(held, window))))
     if blocks == 1:

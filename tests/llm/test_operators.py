@@ -199,6 +199,15 @@ def test_decontamination(spark, root):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()} == want
 
 
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 40])
+def test_decontamination_by_items_without_id(spark, block_bytes):
+    nameless, short, named = " ".join(f"a{i}" for i in range(12)), "only three words", " ".join(f"b{i}" for i in range(10))
+    bench = spark.createDataFrame([(None, nameless), (None, short), (7, named), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {nameless} y"), (2, f"{named} and {short}"), (3, "clean"), (4, None)], "doc_id long, text string")
+    out = {r.doc_id: (r.n_hit, r.n_items, list(r["items"]), r.contaminated) for r in decontam.decontaminate(docs, bench, block_bytes=block_bytes).collect()}
+    assert out == {1: (12, 0, [], True), 2: (13, 1, ["7"], True), 3: (0, 0, [], False), 4: (0, 0, [], False)}
+
+
 def test_fingerprints(spark, root):
     docs, found = documents(spark, root), got(spark, "op5_fingerprints", root)[0]
     assert len(found) == len(docs)
