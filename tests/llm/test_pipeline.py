@@ -1,5 +1,7 @@
 """The pipeline against the operators' brute-force versions, stage by stage."""
 
+import hashlib
+
 import corpus_pipeline
 from kinmark.llm import queries
 
@@ -35,3 +37,13 @@ def test_pipeline(spark, tmp_path):
     assert set(clean) == {i for i, x in hits.items() if not x[4]} and len(clean) < len(left)
     assert {r.doc_id for r in outs["byte_bpe"][1].collect()} == set(clean)
     assert sorted(map(tuple, corpus_pipeline.run(spark, root).collect())) == sorted(map(tuple, outs["byte_bpe"][1].collect()))
+
+
+def test_pipeline_returns_tokens(spark):
+    """The last stage holds each document's ids, little-endian uint32, beside their hash."""
+    root = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    found = corpus_pipeline.tokenise(spark, docs, root)
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    for r in found.collect():
+        assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
