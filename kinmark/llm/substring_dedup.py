@@ -1,6 +1,7 @@
-"""Substring dedup: Rabin-Karp hashes of every window of words, counted in Spark, merged into removal intervals.
+"""Substring dedup: Rabin-Karp hashes of stretches and of some windows of words, counted in Spark, merged into intervals.
 
-Every window of `window` consecutive words gets a rolling hash. A window is a repeat if the same words also start in a
+Runs of half a window get a rolling hash each and are its anchors; stretches are counted before windows, and windows only
+where stretches can overlap in part. A window of `window` consecutive words is a repeat if the same words also start in a
 document with a smaller id; the words under repeats go. Four steps:
 
 1. Sieve. Inside each window, the smallest hash of its runs of (window + 1) // 2 words is its anchor, which equal
