@@ -31,10 +31,10 @@ KIND[[32, 10]] = 1
 KIND[np.unique(WIDE[2] >> 8)], KIND[np.unique(WIDE[3] >> 16)] = 3, 4
 
 
-def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+def cut(column: pa.Array, whole: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
     """Pieces of the texts of a string column without nulls, and where each text's pieces begin (and the last ones end).
 
-    The pieces joined are the texts; a space goes with the word after it.
+    The pieces joined are the texts; a space goes with the word after it. Texts that `whole` marks are a piece each.
     """
     n = len(column)
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + n + 1].astype(np.int64)
@@ -53,6 +53,8 @@ def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     bad.append(border[1:][np.diff(border) == 1])
     full = np.flatnonzero(np.diff(ends))  # empty texts have no piece
     odd = np.zeros(n + 1, bool)
+    if whole is not None:
+        odd[:n] = whole
     odd[full] = (kind[ends[full]] == 1) | (kind[ends[full + 1] - 1] == 1)
     odd[np.searchsorted(ends, np.concatenate(bad), "right") - 1] = True
     if odd.any():
@@ -65,16 +67,22 @@ def cut(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return keys, np.searchsorted(starts, ends)
 
 
-def gathered(column: pa.Array, ids_of, tail: bytes = b"") -> pa.Array:
-    """For each text the ids of its pieces, joined, then tail. ids_of: from a list of distinct pieces to their ids as bytes."""
-    keys, first = cut(column)
+def regrouped(values: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Binary values joined: row i has those from ends[i] on, up to ends[i + 1]."""
+    offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1][ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets)), values.buffers()[2]])
+
+
+def gathered(column: pa.Array, ids_of, tail: bytes = b"", whole: np.ndarray | None = None) -> pa.Array:
+    """For each text the ids of its pieces, joined, then tail. ids_of: from an array of distinct pieces to their ids as bytes."""
+    keys, first = cut(column, whole)
     coded = keys.dictionary_encode()
-    found = pa.array([*ids_of(coded.dictionary.to_pylist()), tail], pa.binary())
-    at = np.insert(coded.indices.to_numpy(), first[1:], len(found) - 1)
-    joined = found.take(pa.array(at))
-    last = first + np.arange(len(first))  # each text before has had its tail
-    offsets = np.frombuffer(joined.buffers()[1], np.int32)[: len(at) + 1][last]
-    return pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(np.ascontiguousarray(offsets)), joined.buffers()[2]])
+    found = pa.concat_arrays([ids_of(coded.dictionary), pa.array([tail], pa.binary())])
+    at = coded.indices.to_numpy()
+    if tail:
+        at = np.insert(at, first[1:], len(found) - 1)
+        first = first + np.arange(len(first))  # each text before has had its tail
+    return regrouped(found.take(pa.array(at)), first)
 
 
 def slices(batches: Iterator[pa.RecordBatch], col: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
@@ -164,12 +172,13 @@ class LibraryEncoder:
             return self.known[lead + letters] + self.known[base[len(letters) :]]
         return self.whole(text)
 
-    def pieces(self, found: list[str]) -> list[bytes]:
+    def pieces(self, distinct: pa.Array) -> pa.Array:
+        found = distinct.to_pylist()
         out = list(map(self.known.now.get, found))
         for i, ids in enumerate(out):
             if ids is None:  # texts that stay whole have white space after their first character; they are not kept
                 out[i] = self.whole(found[i]) if WITHIN.search(found[i]) else self.known.add(found[i])
-        return out
+        return pa.array(out, pa.binary())
 
     def encode(self, column: pa.Array, tail: bytes = b"") -> pa.Array:
         return gathered(column, self.pieces, tail)

@@ -350,7 +350,18 @@ def test_replay_of_odd_ranks():
         table = ranks | {n.encode(): 256 + i for i, n in enumerate(names)}
         enc = tiktoken.Encoding("odd", pat_str=r"\S+", mergeable_ranks=table, special_tokens={})
         texts = ["".join(random.choice("ab") for _ in range(random.randint(1, 14))) for _ in range(30)]
-        assert bpe.Replay(table).encode([t.encode() for t in texts]) == [enc.encode_ordinary(t) for t in texts]
+        got = bpe.Replay(table).encode(pa.array([t.encode() for t in texts], pa.binary())).to_pylist()
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [enc.encode_ordinary(t) for t in texts]
+
+
+def test_replay_of_long_words(tik):
+    """Words of many thousand letters, as data or scripts without spaces have: no step a letter."""
+    rng = np.random.default_rng(4)
+    codec = bpe.Codec.of(queries.MULTI_RANKS, public_tokenizers.PATTERN)
+    texts = ["a" * 40_001, "ab" * 30_000, "".join(map(chr, rng.integers(97, 123, 60_000))), "漢字仮名" * 5_000, " =" * 3 + "=" * 20_001, "x" * 5 + "\n" * 300]
+    ids = codec.encode(pa.array(texts))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [tik.encode_ordinary(t) for t in texts]
+    assert codec.decode(ids).to_pylist() == [t.encode() for t in texts]
 
 
 def test_line_dedup(spark, root):
