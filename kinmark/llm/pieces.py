@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHE = 800_000
 #: Bytes of text that are cut and gathered at a time; a longer text is a slice of its own.
@@ -144,7 +145,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.one = [np.array([i], self.dtype).tobytes() for i in range(self.library.get_vocab_size())]
         self.model = self.library.model
@@ -181,4 +182,8 @@ class LibraryEncoder:
         return pa.array(out, pa.binary())
 
     def encode(self, column: pa.Array, tail: bytes = b"") -> pa.Array:
-        return gathered(column, self.pieces, tail)
+        """Texts that hold an added token (as <|endoftext|>) go through the library as they are."""
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        return gathered(column, self.pieces, tail, whole)

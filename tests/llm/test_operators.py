@@ -270,7 +270,6 @@ def test_token_planes(spark, root):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.BYTE_BPE)
-    t.encode_special_tokens = True
     want, start = {}, 0
     for i, text in documents(spark, root):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -294,7 +293,6 @@ def test_pieces_encode_as_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library, encoder = Tokenizer.from_file(path), pieces.LibraryEncoder(path)
-    library.encode_special_tokens = True
     gaps = [" ", "\n", "  ", "\n\n", " \n", "\t", "\r\n", "\x0b", "\x1c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "'", "!"]
     words = ["one", "we're", "é", "№5", "日本", "x...", "<|endoftext|>", "''s", "ß!'"]
     texts = ["", *gaps, *(a + g + b for a in words for g in gaps for b in words), *(g + w for w in words for g in gaps), *(w + g for w in words for g in gaps), ""]
