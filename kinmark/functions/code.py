@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import CPP_SIGNALS, IDENTIFIER, JAVA_SIGNALS, KEYWORDS, LEXERS, PYTHON_SIGNALS
+from .lexicon import CPP_SIGNALS, JAVA_SIGNALS, LEXERS, PYTHON_SIGNALS
 from .text import jaccard, let, normalize_whitespace
 
-K, WINDOW, CAP = 3, 4, 8000
+K, WINDOW = 3, 4
 
 
 def signals(text: Column, of: list[str]) -> Column:
@@ -49,25 +49,6 @@ def tokenize(clean: Column, lang: Column) -> Column:
     return F.when(known(lang) == "java", found["java"]).when(known(lang) == "cpp", found["cpp"]).otherwise(found["python"])
 
 
-def _is_name(t: Column, lang: Column) -> Column:
-    keyword = F.when(lang == "java", t.isin(*KEYWORDS["java"])).when(lang == "cpp", t.isin(*KEYWORDS["cpp"])).otherwise(t.isin(*KEYWORDS["python"]))
-    return t.rlike(IDENTIFIER) & ~keyword
-
-
-def names(words: Column, lang: Column) -> Column:
-    """Distinct names in the order in which they first appear."""
-    return F.array_distinct(F.filter(words, lambda t: _is_name(t, lang)))
-
-
-def normalize_names(words: Column, lang: Column) -> Column:
-    """Names become var1, var2, ... by first appearance."""
-
-    def renamed(t: Column, found: Column) -> Column:
-        return let(F.array_position(found, t), lambda i: F.when(i > 0, F.concat(F.lit("var"), i.cast("string"))).otherwise(t))
-
-    return let(words, lambda w: let(names(w, lang), lambda found: F.transform(w, lambda t: renamed(t, found))))
-
-
 def kgrams(words: Column, k: int = K) -> Column:
     """Runs of k tokens, joined without a separator."""
 

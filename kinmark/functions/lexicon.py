@@ -62,9 +62,9 @@ JAVA_SIGNALS = [
 
 #: Tokens of source code.
 LEXERS = {
-    "python": r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|==|!=|<=|>=|[+\-*/=(){}.;,<>\[\]%!&|^]",
-    "java": r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|==|!=|<=|>=|&&|\|\||[+\-*/=(){}.;,<>\[\]%!&|^@]",
-    "cpp": r"::|->|[A-Za-z_][A-Za-z0-9_]*|[0-9]+|==|!=|<=|>=|&&|\|\||[+\-*/=(){}.;,<>\[\]%!&|^#]",
+    "python": r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|==|!=|<=|>=|[+\-*/=(){}.;,<>\[\]%!&|^]",
+    "java": r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|==|!=|<=|>=|&&|\|\||[+\-*/=(){}.;,<>\[\]%!&|^@]",
+    "cpp": r"::|->|[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|==|!=|<=|>=|&&|\|\||[+\-*/=(){}.;,<>\[\]%!&|^#]",
 }
 KEYWORDS = {"python": PYTHON_KEYWORDS, "java": JAVA_KEYWORDS, "cpp": CPP_KEYWORDS}
 IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .lexicon import LEMMAS, STOP_WORDS, tfidf_stop_words
+from .lexicon import STOP_WORDS
 
 #: Inverse document frequency, over two documents, of a term that only one has; of a shared term it is 1.
 KAPPA = 1.4054651081081644
@@ -45,29 +45,6 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(both == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
-def lemmatized(words: Column, lemmas: dict[str, str] = LEMMAS) -> Column:
-    if not lemmas:
-        return words
-    table = F.create_map(*[F.lit(x) for pair in lemmas.items() for x in pair])
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), w))
-
-
-def terms(clean: Column, lemmas: dict[str, str] = LEMMAS, stop: list[str] | None = None) -> Column:
-    """Words of two characters or more and pairs of neighbours, after lemmas and stop words; repeats stay."""
-    return let(unigrams(clean, lemmas, stop), lambda kept: F.concat(kept, bigrams(kept)))
-
-
-def unigrams(clean: Column, lemmas: dict[str, str] = LEMMAS, stop: list[str] | None = None) -> Column:
-    text = F.array_join(lemmatized(tokens(clean), lemmas), " ")
-    return without_stop_words(F.regexp_extract_all(text, F.lit("[a-z0-9]{2,}"), F.lit(0)), stop or tfidf_stop_words())
-
-
-def bigrams(words: Column) -> Column:
-    n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
-    return F.when(n > 1, pairs).otherwise(F.array().cast("array<string>"))
-
-
 def risk(score: Column) -> Column:
     return F.when(score < 0.30, "LOW").when(score < 0.50, "MEDIUM").otherwise("HIGH")
 

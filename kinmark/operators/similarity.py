@@ -11,13 +11,30 @@ from pyspark.sql import functions as F
 from ..functions import code as K
 from ..functions import kernels
 from ..functions import text as T
+from ..functions.lexicon import LEMMAS, STOP_WORDS, tfidf_stop_words
+from ..storage import spread
+
+
+#: Entries of a lemma table at most: it goes to every worker.
+MOST_LEMMAS = 1_000_000
+
+
+def lemma_table(lemmas: DataFrame | dict[str, str] | None) -> dict[str, str]:
+    """Lemmas from a frame (word, lemma) or a dictionary; none means the small table of the lexicon."""
+    if lemmas is None:
+        return LEMMAS
+    if isinstance(lemmas, dict):
+        return lemmas
+    rows = lemmas.select("word", "lemma").dropna().limit(MOST_LEMMAS + 1).collect()
+    if len(rows) > MOST_LEMMAS:
+        raise ValueError(f"a lemma table has {MOST_LEMMAS} entries at most")
+    return {r["word"]: r["lemma"] for r in rows}
 
 
 def prepare_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words, terms): what the text scores need, computed once a document."""
-    clean = docs.select(F.col(id_col).alias("id"), T.clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("clean"))
-    uni = clean.select("id", T.without_stop_words(T.tokens(F.col("clean"))).alias("words"), T.unigrams(F.col("clean")).alias("uni"))
-    return uni.select("id", "words", T.let(F.col("uni"), lambda u: F.concat(u, T.bigrams(u))).alias("terms"))
+    """(id, clean, words): what the text scores need, computed once a document."""
+    clean = spread(docs).select(F.col(id_col).alias("id"), T.clean_text(F.coalesce(F.col(text_col), F.lit(""))).alias("clean"))
+    return clean.select("id", "clean", T.without_stop_words(T.tokens(F.col("clean"))).alias("words"))
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -26,26 +43,19 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return ids.join(docs.select(F.col(id_col).alias("id_b")), F.col("id_b") == F.col("id_a") + 1)
 
 
-def term_counts(prepared: DataFrame) -> DataFrame:
-    return prepared.select("id", F.explode("terms").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def text_scores(pairs: DataFrame, prepared: DataFrame, *fields: str, lemmas: DataFrame | dict[str, str] | None = None) -> DataFrame:
+    """(id_a, id_b) with the given ones of jaccard, lcs and cosine, by one kernel over both cleaned texts."""
+    terms = kernels.Terms(STOP_WORDS, tfidf_stop_words(), lemma_table(lemmas))
+    scores = kernels.text_scores(F.col("clean_a"), F.col("clean_b"), terms, T.KAPPA * T.KAPPA, *fields)
+    return with_sides(pairs, prepared, ["clean"]).select("id_a", "id_b", scores.alias("s")).select("id_a", "id_b", "s.*")
 
 
-def tfidf_cosine(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+def tfidf_cosine(pairs: DataFrame, prepared: DataFrame, lemmas: DataFrame | dict[str, str] | None = None) -> DataFrame:
     """(id_a, id_b, cosine): TF-IDF over the two documents of each pair; null if neither has a term.
 
     Idf over two documents is 1 for shared terms and KAPPA for others, so integer sums of squares give the cosine.
     """
-    counts = term_counts(prepared)
-    norm = counts.groupBy("id").agg(F.sum(F.col("tf") * F.col("tf")).alias("sq"))
-    a, b = (counts.select(F.col("id").alias(f"id_{x}"), "term", F.col("tf").alias(f"tf_{x}")) for x in "ab")
-    shared = pairs.join(a, "id_a").join(b, ["id_b", "term"]).groupBy("id_a", "id_b").agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), F.sum(F.col("tf_a") * F.col("tf_a")).alias("sa"), F.sum(F.col("tf_b") * F.col("tf_b")).alias("sb"))
-    both = pairs.join(shared, ["id_a", "id_b"], "left")
-    for x in "ab":
-        both = both.join(norm.select(F.col("id").alias(f"id_{x}"), F.col("sq").alias(f"sq_{x}")), f"id_{x}", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    length = lambda x: F.sqrt(zero(f"s{x}") + F.lit(T.KAPPA * T.KAPPA) * (zero(f"sq_{x}") - zero(f"s{x}")))
-    cosine = F.when(F.col("sq_a").isNull() & F.col("sq_b").isNull(), None).when(F.col("dot").isNull(), 0.0).otherwise(F.col("dot") / (length("a") * length("b")))
-    return both.select("id_a", "id_b", cosine.alias("cosine"))
+    return text_scores(pairs, prepared, "cosine", lemmas=lemmas)
 
 
 def with_sides(pairs: DataFrame, prepared: DataFrame, columns: list[str]) -> DataFrame:
@@ -55,12 +65,11 @@ def with_sides(pairs: DataFrame, prepared: DataFrame, columns: list[str]) -> Dat
     return pairs
 
 
-def text_report(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+def text_report(pairs: DataFrame, prepared: DataFrame, lemmas: DataFrame | dict[str, str] | None = None) -> DataFrame:
     """(id_a, id_b, jaccard, lcs, cosine, final_similarity, risk_level, error); the final score is of unrounded parts."""
-    sides = with_sides(pairs, prepared, ["words"]).select("id_a", "id_b", T.jaccard(F.col("words_a"), F.col("words_b")).alias("j"), kernels.text_lcs(F.col("words_a"), F.col("words_b")).alias("l"))
-    out = sides.join(tfidf_cosine(pairs, prepared), ["id_a", "id_b"])
-    final = T.rounded(T.fused_text(F.col("j"), F.col("l"), F.col("cosine")))
-    out = out.select("id_a", "id_b", T.rounded(F.col("j")).alias("jaccard"), T.rounded(F.col("l")).alias("lcs"), T.rounded(F.col("cosine")).alias("cosine"), final.alias("final_similarity"))
+    out = text_scores(pairs, prepared, "jaccard", "lcs", "cosine", lemmas=lemmas)
+    final = T.rounded(T.fused_text(F.col("jaccard"), F.col("lcs"), F.col("cosine")))
+    out = out.select("id_a", "id_b", *[T.rounded(F.col(c)).alias(c) for c in ("jaccard", "lcs", "cosine")], final.alias("final_similarity"))
     level = F.when(F.col("final_similarity").isNotNull(), T.risk(F.col("final_similarity")))
     return out.withColumns({"risk_level": level, "error": F.when(F.col("cosine").isNull(), "empty vocabulary")})
 
@@ -76,10 +85,9 @@ def prepare_code(docs: DataFrame, id_col: str = "doc_id", code_col: str = "text"
     """(id, lang, code, words, prints): normalised tokens and winnowing fingerprints, computed once a program."""
     raw = F.coalesce(F.col(code_col), F.lit(""))
     lang = F.coalesce(F.lower(F.nullif(lang, F.lit(""))), K.detect_language(raw)) if lang is not None else K.detect_language(raw)
-    out = docs.select(F.col(id_col).alias("id"), lang.alias("lang"), raw.alias("code"))
-    out = out.withColumn("raw_words", K.tokenize(K.clean_code(F.col("code"), F.col("lang")), F.col("lang")))
-    out = out.withColumn("words", K.normalize_names(F.col("raw_words"), K.known(F.col("lang")))).drop("raw_words")
-    return out.withColumn("prints", K.winnow(K.hashes(K.kgrams(F.col("words")))))
+    out = spread(docs).select(F.col(id_col).alias("id"), lang.alias("lang"), raw.alias("code"))
+    columns = kernels.code_columns(F.col("code"), F.col("lang"), "words", "prints")
+    return out.select("id", "lang", "code", columns.alias("c")).select("id", "lang", "code", "c.*")
 
 
 def ast_ngrams(nodes, n: int = 3):

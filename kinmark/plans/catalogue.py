@@ -14,6 +14,7 @@ from ..functions import code as K
 from ..functions import kernels, lexicon
 from ..functions import text as T
 from ..operators import candidates, semantic, service, similarity
+from ..storage import spread
 
 CODE = {
     "add": "def add(a, b):\n    return a + b",
@@ -53,15 +54,17 @@ def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_docs(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     words = K.tokenize(K.clean_code(F.col("text"), F.lit(lang)), F.lit(lang))
-    return docs(spark, sf_dir).select("doc_id", words.alias("words"))
+    return spread(docs(spark, sf_dir)).select("doc_id", words.alias("words"))
 
 
-def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_docs(spark, sf_dir, "python").select("doc_id", K.normalize_names(F.col("words"), F.lit("python")).alias("words"))
+def code_columns(spark: SparkSession, sf_dir: str, *fields: str, lang: str = "python") -> DataFrame:
+    """(doc_id, ...) of whole documents read as programs."""
+    found = spread(docs(spark, sf_dir)).select("doc_id", kernels.code_columns(F.col("text"), F.lit(lang), *fields).alias("c"))
+    return found.select("doc_id", "c.*")
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalized(spark, sf_dir).select(F.col("doc_id").alias("id"), "words", K.winnow(K.hashes(K.kgrams(F.col("words")))).alias("prints"))
+    return code_columns(spark, sf_dir, "words", "prints").withColumnRenamed("doc_id", "id")
 
 
 def text_clean(spark, sf):
@@ -85,8 +88,7 @@ def text_jaccard(spark, sf):
 
 def text_lcs(spark, sf):
     d = docs(spark, sf)
-    sides = similarity.with_sides(similarity.neighbours(d), similarity.prepare_text(d), ["words"])
-    return sides.select("id_a", "id_b", T.rounded(kernels.text_lcs(F.col("words_a"), F.col("words_b"))).alias("lcs"))
+    return similarity.text_scores(similarity.neighbours(d), similarity.prepare_text(d), "lcs").withColumn("lcs", T.rounded(F.col("lcs")))
 
 
 def text_tfidf_cosine(spark, sf):
@@ -119,16 +121,16 @@ def _tokens_query(lang):
     return lambda spark, sf: code_docs(spark, sf, lang).select("doc_id", F.size("words").alias("n"), F.array_join("words", " ").alias("words"))
 
 
-def code_normalize(spark, sf):
-    return normalized(spark, sf).select("doc_id", F.array_join("words", " ").alias("words"))
+def _normalize_query(lang):
+    return lambda spark, sf: code_columns(spark, sf, "words", lang=lang).select("doc_id", F.array_join("words", " ").alias("words"))
 
 
 def kgram_hash(spark, sf):
-    return normalized(spark, sf).select("doc_id", F.posexplode(K.hashes(K.kgrams(F.col("words")))).alias("pos", "hash"))
+    return code_columns(spark, sf, "digests").select("doc_id", F.posexplode("digests").alias("pos", "hash"))
 
 
 def winnow_fingerprints(spark, sf):
-    return prints(spark, sf).select(F.col("id").alias("doc_id"), F.explode("prints").alias("fp"))
+    return code_columns(spark, sf, "prints").select("doc_id", F.explode("prints").alias("fp"))
 
 
 def winnow_similarity(spark, sf):
@@ -284,11 +286,11 @@ def percent_labels(spark, sf):
 def queries() -> dict:
     plain = [
         text_clean, text_tokens, text_stopword_filter, text_jaccard, text_lcs, text_tfidf_cosine, text_report, risk_classify, lang_detect, code_clean_python, code_clean_c_like,
-        code_normalize, kgram_hash, winnow_fingerprints, winnow_similarity, code_lcs, ast_edit_similarity, ast_ngram_jaccard, ast_node_edit_similarity, code_score_same_lang, code_score_cross_lang, unified_report,
+        kgram_hash, winnow_fingerprints, winnow_similarity, code_lcs, ast_edit_similarity, ast_ngram_jaccard, ast_node_edit_similarity, code_score_same_lang, code_score_cross_lang, unified_report,
         near_duplicate_pairs, near_duplicate_classes, benchmark_contamination, embedding_cosine_topk, embedding_normalize, local_alignment_blocks, history_page, history_count,
         daily_quota, rate_limit_window, status_latest, delete_cascade, report_detail, user_history, extension_filter, percent_labels,
     ]
-    return {f.__name__: f for f in plain} | {f"code_tokens_{lang}": _tokens_query(lang) for lang in lexicon.LEXERS}
+    return {f.__name__: f for f in plain} | {f"code_tokens_{lang}": _tokens_query(lang) for lang in lexicon.LEXERS} | {"code_normalize" + f"_{lang}" * (lang != "python"): _normalize_query(lang) for lang in lexicon.LEXERS}
 
 
 def _list(words) -> str:
@@ -308,13 +310,16 @@ WORDS = CLEAN + ", words AS (SELECT doc_id, list_filter(string_split(clean, ' ')
 KEPT = WORDS + f", kept AS (SELECT doc_id, list_filter(words, lambda t: t NOT IN ({_list(lexicon.STOP_WORDS)})) AS kept FROM words)"
 PYTHON = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)\"{3}.*?\"{3}', '', 'g'), '(?s)''{3}.*?''{3}', '', 'g'), '(?m)#.*?$', '', 'g'), '\s+', ' ', 'g'))"""
 C_LIKE = r"""trim(regexp_replace(regexp_replace(regexp_replace(text, '(?s)/\*.*?\*/', '', 'g'), '(?m)//.*?$', '', 'g'), '\s+', ' ', 'g'))"""
-LEXED = f"lexed AS (SELECT doc_id, regexp_extract_all({PYTHON}, '{lexicon.LEXERS['python']}') AS w FROM documents)"
-NAMED = (
-    LEXED
-    + f""", flat AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM lexed),
-named AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS i FROM flat WHERE regexp_matches(t, '{lexicon.IDENTIFIER}') AND t NOT IN ({_list(lexicon.PYTHON_KEYWORDS)}) GROUP BY doc_id, t),
+
+
+def _named(lang: str = "python") -> str:
+    cleaned = PYTHON if lang == "python" else C_LIKE
+    return f"""lexed AS (SELECT doc_id, regexp_extract_all({cleaned}, '{lexicon.LEXERS[lang]}') AS w FROM documents), flat AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM lexed),
+named AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS i FROM flat WHERE regexp_matches(t, '{lexicon.IDENTIFIER}') AND t NOT IN ({_list(lexicon.KEYWORDS[lang])}) GROUP BY doc_id, t),
 norm AS (SELECT flat.doc_id, flat.pos, CASE WHEN i IS NULL THEN flat.t ELSE 'var' || i END AS t FROM flat LEFT JOIN named ON flat.doc_id = named.doc_id AND flat.t = named.t)"""
-)
+
+
+NAMED = _named()
 HASHED = NAMED + ", grams AS (SELECT doc_id, pos, t || lead(t, 1) OVER w || lead(t, 2) OVER w AS g FROM norm WINDOW w AS (PARTITION BY doc_id ORDER BY pos)), h AS (SELECT doc_id, pos, md5(g) AS h FROM grams WHERE g IS NOT NULL)"
 _MIN = "least AS (SELECT doc_id, {pos} AS pos, min(h) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS fp, count(*) OVER (PARTITION BY doc_id) AS n FROM h), fps AS (SELECT DISTINCT doc_id, fp FROM least WHERE pos >= 3 OR n < 4 AND pos = n - 1)"
 WINNOWED = HASHED + ", " + _MIN.format(pos="pos")
@@ -333,13 +338,16 @@ def _shingled(source: str, key: str) -> str:
 {source}_p AS (SELECT DISTINCT doc_id, fp FROM {source}_l WHERE pos >= 3 OR n < 4 AND pos = n - 1)"""
 
 
-NEAR = (
-    _shingled("documents", "doc_id")
-    + """, keyed AS (SELECT d.doc_id, coalesce(string_agg(fp, ',' ORDER BY fp), '') AS k FROM documents d LEFT JOIN documents_p p USING (doc_id) GROUP BY d.doc_id),
+SHORT = r"CASE WHEN len(w) = 0 OR regexp_matches(regexp_replace(low, '[\x00-\x7F]', '', 'g'), '[\p{L}\p{M}\p{N}]') THEN low ELSE array_to_string(w, ' ') END"
+NEAR = rf"""s0 AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9\s'']', ' ', 'g'), '\s+', ' ', 'g')) AS clean, trim(regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g')) AS low FROM documents),
+s1 AS (SELECT doc_id, low, list_filter(string_split(clean, ' '), lambda t: t <> '') AS w FROM s0),
+f AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM s1 WHERE len(w) >= 5),
+g AS (SELECT doc_id, t || ' ' || lead(t, 1) OVER w || ' ' || lead(t, 2) OVER w || ' ' || lead(t, 3) OVER w || ' ' || lead(t, 4) OVER w AS fp FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT DISTINCT doc_id, md5(fp) AS fp FROM g WHERE fp IS NOT NULL UNION ALL SELECT doc_id, md5({SHORT}) FROM s1 WHERE len(w) < 5),
+keyed AS (SELECT doc_id, string_agg(fp, ',' ORDER BY fp) AS k FROM p GROUP BY doc_id),
 cls AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM keyed),
-reps AS (SELECT p.doc_id, fp, count(*) OVER (PARTITION BY p.doc_id) AS n FROM documents_p p JOIN cls USING (doc_id) WHERE p.doc_id = class_id),
+reps AS (SELECT p.doc_id, fp, count(*) OVER (PARTITION BY p.doc_id) AS n FROM p JOIN cls USING (doc_id) WHERE p.doc_id = class_id),
 links AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS s FROM reps a JOIN reps b ON a.fp = b.fp AND a.doc_id < b.doc_id GROUP BY ALL HAVING s >= 0.8)"""
-)
 
 
 def _cosine() -> str:
@@ -368,7 +376,6 @@ def oracle_sql() -> dict[str, str]:
         "lang_detect": f"SELECT doc_id, CASE WHEN p >= c AND p >= j THEN 'python' WHEN c >= j THEN 'cpp' ELSE 'java' END AS lang FROM (SELECT doc_id, {p} AS p, {c} AS c, {j} AS j FROM documents)",
         "code_clean_python": f"SELECT doc_id, {PYTHON} AS clean FROM documents",
         "code_clean_c_like": f"SELECT doc_id, {C_LIKE} AS clean FROM documents",
-        "code_normalize": f"WITH {NAMED}, t AS (SELECT doc_id, string_agg(t, ' ' ORDER BY pos) AS words FROM norm GROUP BY doc_id) SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN t USING (doc_id)",
         "kgram_hash": f"WITH {HASHED} SELECT doc_id, CAST(pos AS INT) AS pos, h AS hash FROM h",
         "winnow_fingerprints": f"WITH {WINNOWED} SELECT * FROM fps",
         "winnow_similarity": f"""WITH {WINNOWED}, t AS (SELECT doc_id, list(t) AS t FROM norm GROUP BY doc_id), f AS (SELECT doc_id, list(fp) AS f FROM fps GROUP BY doc_id),
@@ -397,5 +404,6 @@ SELECT *, CASE status WHEN 'failed' THEN 'Analysis failed: ' || coalesce(error_m
         "percent_labels": f"WITH {SUBMISSIONS}, b AS (SELECT submission_id, CAST(floor(final_similarity * 100 + 0.5) AS BIGINT) AS bar FROM r) SELECT *, CASE WHEN bar >= 50 THEN 'red' WHEN bar >= 30 THEN 'yellow' ELSE 'green' END AS colour FROM b",
     }
     for lang, pattern in lexicon.LEXERS.items():
+        sql["code_normalize" + f"_{lang}" * (lang != "python")] = f"WITH {_named(lang)}, t AS (SELECT doc_id, string_agg(t, ' ' ORDER BY pos) AS words FROM norm GROUP BY doc_id) SELECT doc_id, coalesce(words, '') AS words FROM documents LEFT JOIN t USING (doc_id)"
         sql[f"code_tokens_{lang}"] = f"WITH t AS (SELECT doc_id, regexp_extract_all({PYTHON if lang == 'python' else C_LIKE}, '{pattern}') AS w FROM documents) SELECT doc_id, CAST(len(w) AS INT) AS n, array_to_string(w, ' ') AS words FROM t"
     return sql

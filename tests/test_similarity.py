@@ -88,7 +88,7 @@ def test_code_lcs_of_whole_lists(spark):
 
 def test_lexers(spark):
     tok = lambda c, lang: K.tokenize(K.clean_code(F.lit(c), F.lit(lang)), F.lit(lang))
-    row = one(spark, tok('a<=b->c::d && 12.5 "x y"', "cpp"), K.normalize_names(tok("def add(a, b): return a + b", "python"), F.lit("python")), K.clean_code(F.lit("a # x\rb\nc"), F.lit("python")), K.clean_code(F.lit("a /* b\n c */ d // e\nf"), F.lit("java")))
+    row = one(spark, tok('a<=b->c::d && 12.5 "x y"', "cpp"), kernels.code_columns(F.lit("def add(a, b): return a + b"), F.lit("python"), "words")["words"], K.clean_code(F.lit("a # x\rb\nc"), F.lit("python")), K.clean_code(F.lit("a /* b\n c */ d // e\nf"), F.lit("java")))
     assert row[0] == "a <= b -> c :: d && 12 . 5 x y".split() and row[1] == "def var1 ( var2 , var3 ) return var2 + var3".split()
     assert row[2] == "a c" and row[3] == "a d f"
 
@@ -113,6 +113,34 @@ def test_code_goldens(spark, other, winnowing, lcs, ngrams, types):
     assert (row.ngrams, row.types) == (ngrams, types)
 
 
+def test_kernels_agree_with_built_ins(spark, sf):
+    """The kernels of programs and texts against the built-in columns, on whole documents."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    c = kernels.code_columns(F.col("text"), F.lit("cpp"), "words", "digests", "prints")
+    rows = docs.select(c.alias("c"), K.tokenize(K.clean_code(F.col("text"), F.lit("cpp")), F.lit("cpp")).alias("t"))
+    rows = rows.select("c.*", "t").select("*", K.hashes(K.kgrams(F.col("words"))).alias("h"), K.winnow(F.col("digests")).alias("p"))
+    assert rows.filter("size(words) <> size(t) or digests <> h or prints <> p").count() == 0
+    for r in rows.limit(20).collect():
+        names = {}
+        assert all(w == t or names.setdefault(t, w) == w for w, t in zip(r["words"], r["t"], strict=True))
+        assert list(names.values()) == [f"var{i + 1}" for i in range(len(names))]
+
+
+def test_digits_of_any_script(spark):
+    assert one(spark, K.tokenize(F.lit("x٣٤ + 12"), F.lit("python")))[0] == ["x", "٣٤", "+", "12"] == kernels.LEX["python"].findall("x٣٤ + 12")
+
+
+def test_lemma_table(spark):
+    lemmas = spark.createDataFrame([("compares", "compare"), ("cats", "cat"), (None, "x")], "word string, lemma string")
+    pairs = spark.createDataFrame([(1, "cats compares rivers", "cat compare river")], "pair_id long, text_a string, text_b string")
+    docs = pairs.selectExpr("0L AS doc_id", "text_a AS text").union(pairs.selectExpr("1L", "text_b"))
+    score = lambda x: similarity.tfidf_cosine(similarity.neighbours(docs), similarity.prepare_text(docs), x).first().cosine
+    assert score({}) == 0 < score(lemmas) < 1 and score({"rivers": "river"} | similarity.lemma_table(lemmas)) == pytest.approx(1)
+    with pytest.MonkeyPatch.context() as m, pytest.raises(ValueError):
+        m.setattr(similarity, "MOST_LEMMAS", 1)
+        similarity.lemma_table(lemmas)
+
+
 def test_fusion(spark):
     assert list(one(spark, T.rounded(T.fused_code(F.lit(0.5), F.lit(0.4), F.lit(0.2))), T.rounded(T.fused_code(F.lit(0.5), F.lit(0.4), F.lit(None).cast("double"))))) == [0.38, 0.42]
 
@@ -124,46 +152,38 @@ def test_unified(spark):
     assert got[2].error == "content is empty" and got[3].error == "unknown mode" and got[4].language == "english"
 
 
-def slow_align(a, b):
-    """Cell by cell."""
-    n, m, used_a, used_b, out = len(a), len(b), set(), set(), []
-    for _ in range(10):
-        g, best, at = [[0] * (m + 1) for _ in range(n + 1)], 0, (0, 0)
-        for i in range(1, n + 1):
-            for j in range(1, m + 1):
-                if i - 1 in used_a or j - 1 in used_b:
-                    continue
-                g[i][j] = max(0, g[i - 1][j - 1] + (2 if a[i - 1][0] == b[j - 1][0] else -1), g[i - 1][j] - 1, g[i][j - 1] - 1)
-                if g[i][j] > best:
-                    best, at = g[i][j], (i, j)
-        if best == 0 or best / (2 * min(n, m)) < 0.15:
-            break
-        i, j = at
-        rows, columns = [], []
-        while i and j and g[i][j] > 0:
-            rows.append(i - 1)
-            columns.append(j - 1)
-            if a[i - 1][0] == b[j - 1][0]:
-                i, j = i - 1, j - 1
-            elif g[i - 1][j] > g[i][j - 1]:
-                i -= 1
-            else:
-                j -= 1
-        la, lb = [a[x][1] for x in rows], [b[x][1] for x in columns]
-        if max(la) - min(la) >= 2 and max(lb) - min(lb) >= 2:
-            out.append({"score": round(100 * best / (2 * min(n, m)), 2), "file_a_region": [min(la), max(la)], "file_b_region": [min(lb), max(lb)]})
-        used_a |= set(rows)
-        used_b |= set(columns)
-        if len(used_a) > 0.85 * n or len(used_b) > 0.85 * m:
-            break
-    return out
-
-
-def test_alignment():
+def lined(names, first=1, each=2):
+    """Tokens, `each` a line."""
+    return [(t, first + i // each) for i, t in enumerate(names.split())]
+
+
+def test_alignment_goldens():
+    p, q, r = "p1 p2 p3 p4 p5 p6", "q1 q2 q3 q4 q5 q6", "r1 r2 r3 r4 r5 r6"
+    block = lambda score, a, b: {"score": score, "file_a_region": a, "file_b_region": b}
+    assert kernels.align(lined(p), lined(p)) == [block(100, [1, 3], [1, 3])]
+    assert kernels.align(lined(p), lined(f"x y z w {p}")) == [block(100, [1, 3], [3, 5])]
+    assert kernels.align(lined(f"{p} {q}"), lined(f"{r} {q}")) == [block(50, [4, 6], [4, 6])]
+    # both parts, the other way round: the first of two equal maxima by rows comes first
+    assert kernels.align(lined(f"{p} {q}"), lined(f"{q} {p}")) == [block(50, [1, 3], [4, 6]), block(50, [4, 6], [1, 3])]
+    # two lines are too few; 2 points of 40 are too few
+    assert kernels.align(lined("p1 p2 p3 p4"), lined("p1 p2 p3 p4")) == []
+    assert kernels.align(lined("a " + "x " * 19), lined("a " + "y " * 19)) == []
+    # a token too many inside costs one: 6 * 2 - 1 of 2 * 6
+    assert kernels.align(lined(p), lined("p1 p2 p3 z p4 p5 p6")) == [block(91.67, [1, 3], [1, 4])]
+    assert kernels.align([], lined(p)) == kernels.align(lined(p), []) == []
+
+
+def test_alignment_properties():
     random.seed(4)
-    for _ in range(60):
-        a, b = ([(random.choice("abcde"), i // 3) for i in range(random.randint(1, 40))] for _ in range(2))
-        assert kernels.align(a, b) == slow_align(a, b)
+    for _ in range(80):
+        a, b = ([(random.choice("abcde"), i // 3) for i in range(random.randint(1, 60))] for _ in range(2))
+        found = kernels.align(a, b)
+        assert len(found) <= 10 and kernels.align(a, b, cap=10**6) == found
+        for x in found:
+            assert 15 <= x["score"] <= 100
+            for side, (lo, hi) in ((a, x["file_a_region"]), (b, x["file_b_region"])):
+                assert hi - lo >= 2 and lo >= 0 and hi <= side[-1][1]
+        assert kernels.align(a, a)[:1] == ([{"score": 100, "file_a_region": [0, a[-1][1]], "file_b_region": [0, a[-1][1]]}] if a[-1][1] >= 2 else [])
 
 
 def test_alignment_of_whole_texts():
@@ -190,11 +210,11 @@ def test_near_duplicates(spark):
     random.seed(2)
     base = [random.choice("abcdefghijklmnop") + str(random.randint(0, 50)) for _ in range(300)]
     rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join([*base[:-3], "x"])), (4, "quite another text with words of its own"), (5, None)]
-    out = {r.doc_id: (r.class_id, r.n_links) for r in candidates.near_duplicates(candidates.shingle_prints(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    out = {r.doc_id: (r.class_id, r.n_links) for r in candidates.near_duplicates(candidates.shingle_sets(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert out == {1: (1, 1), 2: (1, 1), 3: (3, 1), 4: (4, 0), 5: (5, 0)}
 
 
-def test_near_duplicates_by_all_shingles(spark):
+def test_near_duplicates_by_all_shingles(spark, monkeypatch):
     """Copies with a few replaced words: every link of plain shingle sets, with its similarity, and no other."""
     rng = random.Random(5)
     rows = []
@@ -209,10 +229,11 @@ def test_near_duplicates_by_all_shingles(spark):
     sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
     want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] != sets[b]}
     want = {k: x for k, x in want.items() if x >= 0.8}
-    links = lambda prints: {(r.id_a, r.id_b): r.similarity for r in candidates.near_duplicate_links(prints).collect()}
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert links(candidates.shingle_sets(docs)) == want and len(want) > 20
-    assert links(candidates.shingle_prints(docs)).keys() != want.keys()
+    for frequent in (candidates.FREQUENT, 1):  # with 1, all shingles of a prefix are put last
+        monkeypatch.setattr(candidates, "FREQUENT", frequent)
+        found = {(r.id_a, r.id_b): r.similarity for r in candidates.near_duplicate_links(candidates.shingle_sets(docs)).collect()}
+        assert found == want and len(want) > 20
 
 
 def test_short_texts_share_a_class_only_if_equal(spark):
