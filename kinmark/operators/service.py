@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RISKS, MODES, PAGE_SIZE, DAILY_LIMIT = ("LOW", "MEDIUM", "HIGH"), ("text", "code"), 8, 5
+#: Filters, page size, submissions a day, bytes of a file, length of an error.
+RISKS, MODES, PAGE_SIZE, DAILY_LIMIT, MAX_BYTES, MAX_ERROR = ("LOW", "MEDIUM", "HIGH"), ("text", "code"), 8, 5, 10 * 1024 * 1024, 1024
+#: File kinds by mode.
 TEXT_FILES, CODE_FILES = (".txt", ".pdf", ".docx"), (".py", ".java", ".cpp", ".c", ".js", ".ts", ".cs", ".go", ".rb")
 
 
@@ -40,6 +42,18 @@ def page_count(total: Column, size: int = PAGE_SIZE) -> Column:
     return F.greatest(F.ceil(total / size), F.lit(1))
 
 
+def page_span(total: Column, number: Column, size: int = PAGE_SIZE) -> Column:
+    """(page, from, to): a page number within the pages there are, and its rows' numbers from 1; 0 to 0 if there are none."""
+    page = F.least(F.greatest(number, F.lit(1)), page_count(total, size))
+    first = F.when(total == 0, 0).otherwise((page - 1) * size + 1)
+    return F.struct(page.cast("long").alias("page"), first.cast("long").alias("from"), F.least(page * size, total).cast("long").alias("to"))
+
+
+def submission(submissions: DataFrame, submission_id: int, user_id: int) -> DataFrame:
+    """The submission of that id, if it is the user's."""
+    return submissions.filter((F.col("id") == submission_id) & (F.col("user_id") == user_id))
+
+
 def history_count(submissions: DataFrame, reports: DataFrame, **filters) -> DataFrame:
     """(total, pages) of a history."""
     return history(submissions, reports, **filters).agg(F.count("*").alias("total")).withColumn("pages", page_count(F.col("total")))
@@ -62,8 +76,50 @@ def latest_status(events: DataFrame) -> DataFrame:
 
 
 def status_message(status: Column, error: Column) -> Column:
-    failed = F.concat(F.lit("Analysis failed: "), F.coalesce(F.nullif(F.substring(error, 1, 1024), F.lit("")), F.lit("Unknown error")))
-    return F.when(status == "pending", "Waiting in queue").when(status == "processing", "Analysis in progress").when(status == "completed", "Analysis complete").when(status == "failed", failed)
+    #: What users read.
+    pending, processing, completed = "Your submission is queued for analysis.", "Analysis is in progress. This may take a moment.", "Analysis complete. Your report is ready."
+    failed = F.concat(F.lit("Analysis failed: "), F.coalesce(F.nullif(error, F.lit("")), F.lit("Unknown error")))
+    return F.when(status == "pending", pending).when(status == "processing", processing).when(status == "completed", completed).when(status == "failed", failed)
+
+
+#: The states that may follow each state; a submission begins as pending.
+NEXT = {"pending": ("processing",), "processing": ("completed", "failed"), "completed": (), "failed": ()}
+
+
+def status_events(changes: DataFrame, current: DataFrame) -> DataFrame:
+    """changes (submission_id, status, error_message, ts) that may follow the current (submission_id, status), as rows to append.
+
+    Errors are cut to MAX_ERROR characters and kept for failures only. Changes out of turn, and of unknown submissions
+    except to pending, are left out.
+    """
+    now = current.select(F.col("submission_id"), F.col("status").alias("now"))
+    both = changes.join(now, "submission_id", "left")
+    allowed = F.col("now").isNull() & (F.col("status") == "pending")
+    for state, following in NEXT.items():
+        allowed = allowed | (F.col("now") == state) & F.col("status").isin(*following)
+    error = F.when(F.col("status") == "failed", F.substring("error_message", 1, MAX_ERROR))
+    return both.filter(allowed).select("submission_id", "status", error.alias("error_message"), "ts")
+
+
+def checked_uploads(uploads: DataFrame, submissions: DataFrame, users: DataFrame, limit: int = DAILY_LIMIT, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """uploads (id, user_id, mode, name1, size1, name2, size2, created_at) with code and error; both are null if accepted.
+
+    In this order: 422 for an unknown mode, 429 from the user's submission number limit + 1 of the day on (those of
+    submissions and earlier ones of the batch count; not for the plan pro), 422 for a file of another kind, 413 for one
+    that is too large.
+    """
+    day = F.to_date("created_at")
+    before = submissions.groupBy("user_id", day.alias("day")).agg(F.count("*").alias("before"))
+    valid = F.coalesce(F.col("mode").isin(*MODES), F.lit(False))
+    turn = F.sum(valid.cast("int")).over(Window.partitionBy("user_id", day).orderBy("created_at", "id"))
+    rows = uploads.withColumn("turn", turn).withColumn("day", day).join(before, ["user_id", "day"], "left")
+    rows = rows.join(users.select(F.col("id").alias("user_id"), "plan"), "user_id", "left")
+    full = (F.coalesce("plan", F.lit("free")) != "pro") & (F.coalesce("before", F.lit(0)) + F.col("turn") > limit)
+    kind = accepted(F.col("name1"), F.col("mode")) & accepted(F.col("name2"), F.col("mode"))
+    large = F.greatest("size1", "size2") > max_bytes
+    refused = lambda code, why: F.struct(F.lit(code).alias("code"), F.lit(why).alias("error"))
+    error = F.when(~valid, refused(422, "unknown mode")).when(full, refused(429, "daily limit reached")).when(~kind, refused(422, "file type not allowed")).when(large, refused(413, "file too large"))
+    return rows.withColumn("e", error).select(*uploads.columns, F.col("e.code").alias("code"), F.col("e.error").alias("error"))
 
 
 def report_detail(submissions: DataFrame, reports: DataFrame, submission_id: int | None = None) -> DataFrame:
@@ -85,7 +141,8 @@ def without_submissions(submissions: DataFrame, reports: DataFrame, gone: DataFr
 
 
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
+    """From the last dot of the file's name on; dots that a name begins with begin no extension."""
+    return F.lower(F.regexp_extract(path, r"[^./][^/]*?(\.[^./]*)$", 1))
 
 
 def accepted(path: Column, mode: Column) -> Column:
@@ -115,8 +172,3 @@ def rate_windows(events: DataFrame, limit: int = 20, width: str = "1 minute", ke
     """(key, start, n, over): events in tumbling windows."""
     out = events.groupBy(F.col(key), F.window(F.col(ts), width).alias("w")).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("start"), "n", (F.col("n") > limit).alias("over"))
-
-
-def running_status(submissions: DataFrame) -> DataFrame:
-    """Each user's submissions numbered by time."""
-    return submissions.withColumn("nth", F.row_number().over(Window.partitionBy("user_id").orderBy("created_at", "id")))

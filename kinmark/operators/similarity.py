@@ -105,6 +105,13 @@ def ast_edit_likeness(a, b):
     return F.when(a.isNull() | b.isNull(), 0.0).otherwise(K.sequence_distance(a, b))
 
 
+def sequence_likeness(a, b, cap: int | None = None):
+    """Edit likeness of two arrays of node names; `cap` takes the first nodes only."""
+    if cap is not None:
+        a, b = F.slice(a, 1, cap), F.slice(b, 1, cap)
+    return K.sequence_distance(kernels.ast_chars(a), kernels.ast_chars(b))
+
+
 def code_report(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     """(id_a, id_b, lang_a, lang_b, winnowing, lcs, ast, final_similarity); ast only where both have one language."""
     nodes = prepared.withColumn("nodes", kernels.ast_nodes("code", "lang"))

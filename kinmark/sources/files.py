@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..operators.service import accepted, extension
+from ..operators.service import MAX_BYTES, accepted, extension
 
-MAX_BYTES = 10 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
@@ -67,6 +66,18 @@ def object_key(user_id: int, unique: str, name: str) -> str:
     return f"users/{user_id}/{unique}_{re.sub(r'[/\\\\]', '_', name)}"
 
 
+def write_objects(files: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Stores uploaded files (user_id, name, content) as rows (user_id, key, name, content) in folders by user.
+
+    Returns (user_id, name, key, error) of all of them; files over max_bytes are not stored and have an error and no key.
+    """
+    clean = F.regexp_replace("name", r"[/\\\\]", "_")
+    key = F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit("/"), F.md5("content"), F.lit("_"), clean)
+    fits = F.octet_length("content") <= max_bytes
+    files.filter(fits).select("user_id", key.alias("key"), "name", "content").write.mode("append").partitionBy("user_id").parquet(path)
+    return files.select("user_id", "name", F.when(fits, key).alias("key"), F.when(~fits, "file too large").alias("error"))
+
+
 def write_reports(reports: DataFrame, path: str, kind: str = "parquet") -> None:
     """Append reports as Parquet or JSON lines."""
     reports.write.mode("append").format(kind).save(path)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinmark.functions import code as K
-from kinmark.functions import kernels
+from kinmark.functions import kernels, sql
 from kinmark.functions import text as T
 from kinmark.functions.lexicon import STOP_WORDS, tfidf_stop_words
 from kinmark.operators import candidates, semantic, service, similarity
@@ -279,8 +279,80 @@ def test_streams_agree_with_batches(spark, sf, tmp_path):
     assert want <= got
 
 
+def test_rate_stream_and_once(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "ts", F.monotonically_increasing_id().alias("event"))
+    events.unionByName(events).repartition(3).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    single = jobs.once(stream, "event", late="4000 days")
+    single.writeStream.format("memory").queryName("single").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert spark.table("single").count() == events.count()
+    jobs.rate_stream(stream, "4000 days").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    got = {tuple(r) for r in spark.sql("SELECT user_id, start, n, over FROM rates").collect()}
+    assert got == {tuple(r) for r in service.rate_windows(events.unionByName(events)).collect()}
+
+
 def test_analysis_job(spark, tmp_path):
-    spark.createDataFrame([(p, "text", a, b) for p, a, b in PAIRS[:2]], "pair_id long, mode string, text_a string, text_b string").write.json(f"{tmp_path}/in")
+    rows = [*[(p, "text", a, b) for p, a, b in PAIRS[:2]], (1, *("text", *PAIRS[0][1:])), (9, "text", " ", "x")]
+    spark.createDataFrame(rows, "pair_id long, mode string, text_a string, text_b string").coalesce(1).write.json(f"{tmp_path}/in")
     stream = spark.readStream.schema("pair_id long, mode string, text_a string, text_b string").json(f"{tmp_path}/in")
     jobs.analysis_job(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
-    assert {r.pair_id: r.risk_level for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {1: "LOW", 2: "HIGH"}
+    out = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert {r.pair_id: r.risk_level for r in out} == {1: "LOW", 2: "HIGH", 9: None} and len(out) == 3
+    assert all(r.processing_time_ms > 0 and r.algorithm_version == "1.0.0" for r in out)
+    states = service.latest_status(spark.read.parquet(f"{tmp_path}/out-status"))
+    assert {r.submission_id: r.message for r in states.collect()} == {1: "Analysis complete. Your report is ready.", 2: "Analysis complete. Your report is ready.", 9: "Analysis failed: content is empty"}
+
+
+def test_files_to_submissions(spark, tmp_path):
+    (tmp_path / "a.py").write_text("def add(a, b):\n    return a + b")
+    (tmp_path / "b.py").write_text("def plus(x, y):\n    return x + y")
+    found = files.read_files(spark, str(tmp_path), "code")
+    paths = sorted(r.path for r in found.collect())
+    pairs = spark.createDataFrame([(1, "code", *paths), (2, "code", paths[0], "none")], "pair_id long, mode string, path_a string, path_b string")
+    out = {r.pair_id: r for r in similarity.unified_report(jobs.file_submissions(pairs, found)).collect()}
+    assert out[1].final_similarity == 1 and out[2].error == "content is empty"
+
+
+def test_write_objects(spark, tmp_path):
+    rows = [(1, "a/b.txt", b"one"), (1, "c.txt", b"x" * 50), (2, "c.txt", b"two")]
+    out = files.write_objects(spark.createDataFrame(rows, "user_id long, name string, content binary"), f"{tmp_path}/store", max_bytes=10)
+    got = {(r.user_id, r.name): (r.key, r.error) for r in out.collect()}
+    assert got[1, "c.txt"] == (None, "file too large") and got[1, "a/b.txt"][0].startswith("users/1/") and got[1, "a/b.txt"][0].endswith("_a_b.txt")
+    assert {(r.key, bytes(r.content)) for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {(got[1, "a/b.txt"][0], b"one"), (got[2, "c.txt"][0], b"two")}
+
+
+def test_extensions(spark):
+    names = {"a.py": ".py", ".py": "", "x/.py": "", "a.b.TXT": ".txt", "..py": "", "..a.py": ".py", "a": "", "a.": ".", "x.y/a": "", "a..c": ".c"}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", service.extension(F.col("n")).alias("e")).collect()
+    assert {r.n: r.e for r in rows} == names
+
+
+def test_status_machine(spark):
+    current = spark.createDataFrame([(1, "pending"), (2, "processing"), (3, "completed"), (4, "processing")], "submission_id long, status string")
+    changes = spark.createDataFrame([(1, "processing", None, 1), (1, "completed", None, 1), (2, "failed", "e" * 2000, 1), (3, "failed", "x", 1), (4, "completed", "left", 1), (5, "pending", None, 1), (6, "failed", None, 1)], "submission_id long, status string, error_message string, ts long")
+    got = {(r.submission_id, r.status): r.error_message for r in service.status_events(changes, current).collect()}
+    assert got == {(1, "processing"): None, (2, "failed"): "e" * 1024, (4, "completed"): None, (5, "pending"): None}
+
+
+def test_page_span(spark):
+    spans = [tuple(one(spark, service.page_span(F.lit(t), F.lit(n)))[0]) for t, n in ((0, 1), (17, 3), (17, 9), (17, 0), (16, 2))]
+    assert spans == [(1, 0, 0), (3, 17, 17), (3, 17, 17), (1, 1, 8), (2, 9, 16)]
+
+
+def test_node_sequences(spark):
+    """Nodes of any names; an option takes the first ones only."""
+    assert kernels.node_chars(["x", "y", "x"])[0] == kernels.node_chars(["x"]) != kernels.node_chars(["y"]) and kernels.node_chars(None) is None
+    rows = [(["a", "b", "c"], ["a", "x", "c"]), ([], []), (["a"], []), (["a"] * 9000, ["a"] * 8000 + ["b"] * 1000)]
+    nodes = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    likeness = lambda cap: [round(r[0], 4) for r in nodes.select(similarity.sequence_likeness(F.col("a"), F.col("b"), cap)).collect()]
+    assert likeness(None) == [0.6667, 1.0, 0.0, 0.8889] and likeness(kernels.CAP) == [0.6667, 1.0, 0.0, 1.0]
+
+
+def test_sql_functions(spark):
+    assert {"jaccard_similarity", "lcs_similarity", "winnowing_similarity", "ngram_jaccard", "local_alignment"} <= set(sql.register(spark))
+    row = spark.sql("""SELECT jaccard_similarity(array('a', 'b'), array('b', 'c')), lcs_similarity(array('a', 'b'), array('b')), code_lcs_similarity(array('a', 'b'), array('b')),
+        winnowing_similarity(code_words('def add(a, b): return a + b', 'python'), code_words('def plus(x, y): return x + y', 'Python')), ngram_jaccard(ast_nodes('x = 1', 'python'), ast_nodes('y = 2', 'python')),
+        edit_similarity('abc', 'abd'), cosine_similarity(array(1f, 0f), array(0f, 1f)), local_alignment('a\nb\nc', 'a\nb\nc', 'python')[0].score""").first()
+    assert [round(x, 4) for x in row] == [0.3333, 1, 0.5, 1, 1, 0.6667, 0, 100]
+
+
