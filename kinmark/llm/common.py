@@ -2,63 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BASE = 0x9E3779B97F4A7C15
-BASE2 = 0xD1B54A32D192ED03
-#: Bytes of text that are hashed at a time; eight-byte arrays of this length are the largest ones held.
-BLOCK = 1 << 18
-#: White space of the word contracts: [\x20\x09-\x0D].
-SPACES = np.zeros(256, np.bool_)
-SPACES[[0x20, 9, 10, 11, 12, 13]] = True
+from ..functions.hashing import BASE, BASE2, BLOCK, SPACES, Chunk, chunks, gram_hashes, mixed, powers, run_hashes, spans, word_hashes  # noqa: F401
+from ..storage import n_partitions, remove_path, shared_dir, stored  # noqa: F401
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); removed when the session ends.
+def whole_text_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows and 4 MB at most: workers hold whole texts, a batch at a time.
 
-    Where the setting is empty, as in tests on one machine, a temporary folder stands in for it.
+    Frames are lazy and Spark reads the two settings when they run, so the session keeps them; lower ones stay.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.gettempdir() + "/kinmark-shared"
-    path = f"{base.rstrip('/')}/kinmark-{uuid.uuid4().hex}"
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return path
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
-    """df written as Parquet to shared storage and read again: its lineage ends there, and lost executors don't matter."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def n_partitions(df: DataFrame) -> int:
-    """Partitions for a shuffle of whole texts: the session's setting, which is sized with the input."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def whole_text_batches(spark: SparkSession) -> None:
-    """Arrow batches of 1000 rows at most, for the rest of the session: workers hold whole texts, a batch at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        now = int(str(spark.conf.get(name)).removesuffix("b"))
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,6 +28,14 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, for a column in passing."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def row_key():
     """What tells rows of one doc_id apart where ids repeat."""
     return F.xxhash64("text").alias("text_key")
@@ -83,131 +52,6 @@ def id_splits(df: DataFrame, buckets: int, col: str = "doc_id") -> list[int]:
     return sorted({int(x) for x in got})
 
 
-# -- hashed words ---------------------------------------------------------------------------------------------------
-
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, i < n at least; base is odd, and so has an inverse."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        n = max(n, BLOCK + 1)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(n, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        if n > 8 * BLOCK:  # of a single giant word: not kept
-            return both[0], both[1]
-        _powers[base] = both[0], both[1]
-    return _powers[base]
-
-
-def mixed(h: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A bijection on 64-bit words whose every output bit hangs on every input bit (splitmix64's finisher)."""
-    h = h + np.uint64(salt & (1 << 64) - 1)
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def spans(buf: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs of bytes that aren't separators."""
-    sep = np.ones(len(buf) + 2, np.int8)
-    sep[1:-1] = separator[buf]
-    step = np.diff(sep)
-    return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-
-
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes from prefix sums, mixed. Works in blocks of bytes."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
-        part = buf[lo : ends[j - 1]]
-        power, inverse = powers(BASE, len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-        i = j
-    return mixed(out)
-
-
-def gram_hashes(words: np.ndarray, size: int, base: int = BASE, salt: int = 0) -> np.ndarray:
-    """Rabin-Karp: the hash of every run of size words, each from two prefix sums of a polynomial modulo 2**64."""
-    n = len(words) - size + 1
-    if n < 1:
-        return np.zeros(0, np.uint64)
-    out = np.empty(n, np.uint64)
-    for lo in range(0, n, BLOCK):
-        part = words[lo : min(lo + BLOCK, n) + size - 1]
-        power, inverse = powers(base, len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(mixed(part, salt) * power[: len(part)], out=total[1:])
-        m = len(part) - size + 1
-        out[lo : lo + m] = (total[size:] - total[:-size]) * inverse[:m]
-    return mixed(out, salt)
-
-
-def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int, salt: int) -> np.ndarray:
-    """The hash of each given run of words [start, end), the length included."""
-    out, i = np.empty(len(starts), np.uint64), 0
-    while i < len(starts):
-        lo = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, lo + BLOCK)))
-        part = words[lo : int(ends[i:j].max())]
-        power, inverse = powers(base, len(part) + 1)
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(mixed(part, salt) * power[: len(part)], out=total[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64)
-        i = j
-    return mixed(out, salt)
-
-
-class Chunk:
-    """Some texts of a batch, their words hashed together: words of text i are [first[i], first[i + 1])."""
-
-    def __init__(self, rows: list[int], texts: list[bytes], separator: np.ndarray):
-        self.rows, self.texts = rows, texts
-        self.buf = np.frombuffer(b" ".join(texts), np.uint8)
-        self.starts, self.ends = spans(self.buf, separator)
-        begin = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t) + 1 for t in texts], out=begin[1:])
-        self.begin, self.first = begin, np.searchsorted(self.starts, begin)
-        self.n_words = np.diff(self.first)
-
-    def hashes(self) -> np.ndarray:
-        return word_hashes(self.buf, self.starts, self.ends)
-
-    def room(self) -> np.ndarray:
-        """For each word, how many words of its text begin at it or later."""
-        return np.repeat(self.first[1:], self.n_words) - np.arange(len(self.starts))
-
-    def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.texts)), self.n_words)
-
-
-def chunks(texts: list[str], separator: np.ndarray = SPACES, translate: bytes | None = None) -> Iterator[Chunk]:
-    """The texts of a batch in chunks of about BLOCK bytes; a longer text is a chunk of its own."""
-    rows, part, size = [], [], 0
-    for i, t in enumerate(texts):
-        b = t.encode("utf-8", "surrogatepass")
-        if translate:
-            b = b.translate(translate)
-        if part and size + len(b) > BLOCK:
-            yield Chunk(rows, part, separator)
-            rows, part, size = [], [], 0
-        rows.append(i)
-        part.append(b)
-        size += len(b)
-    if part:
-        yield Chunk(rows, part, separator)
-
-
 def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 

@@ -379,6 +379,28 @@ def test_line_dedup(spark, root):
     assert {r.doc_id: (r.n_lines, r.n_dropped, sha(r.kept_text)) for r in out.collect()} == want
 
 
+def test_line_dedup_counts_documents(spark):
+    """Four documents hold the line, in five rows: it stays. A fifth document, and all but the largest id's rows lose it."""
+    line = "a line of more than forty characters, which is a key"
+    rows = [(1, line), (2, line), (3, line), (4, line), (4, line + "\nmore"), (None, line)]
+    for more, want in ([], set()), ([(9, line), (9, "x\n" + line)], {1, 2, 3, 4}):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        for batches, fanout in ((None, 3), (3, 2)):
+            out = line_dedup.line_dedup(docs, batches=batches, fanout=fanout).collect()
+            assert {r.doc_id for r in out if r.n_dropped} == want and len(out) == len(rows + more)
+    assert [t.name for t in spark.catalog.listTables() if t.name.startswith("kinmark_run")] == []
+
+
+def test_line_dedup_of_a_hot_line(spark, monkeypatch):
+    """Keys over the share of 1 / HOT take the other way; results don't differ."""
+    lines = [f"{'line ' * 8} number {i} of some more" for i in range(6)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[: 1 + i % 6])) for i in range(40)], "doc_id long, text string")
+    want = sorted(line_dedup.line_dedup(docs).collect())
+    for hot in (1, 4, 10**9):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert sorted(line_dedup.line_dedup(docs).collect()) == want
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav><!-- <p>no</p> -->
 <div class="cookie-notice">We use cookies</div><div class=ad>Buy</div>
