@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 SIZE = 65_537
 SHARDS = 64
 
@@ -52,7 +54,8 @@ def slot(key: Column, size: int = SIZE) -> Column:
 def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | dict[str, int] | int = SHARDS, size: int = SIZE, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """df with the slot and the shard of each row's key; no shuffle. Columns that already have these names are replaced."""
     names = [f"shard-{i:05d}" for i in range(shards)] if isinstance(shards, int) else shards
-    table = df.sparkSession.createDataFrame(pa.table({"__slot": np.arange(size, dtype=np.int32), "__shard": lookup_table(names, size)}))
-    keyed = df.withColumn("__key", slot(df[f"`{key}`"], size)).drop(slot_col, shard_col)
-    placed = keyed.join(F.broadcast(table), keyed["__key"] == table["__slot"])  # the table has `size` rows, whatever df has
-    return placed.withColumns({slot_col: F.col("__key"), shard_col: F.col("__shard")}).drop("__key", "__slot", "__shard")
+    own, at, place = (C.unused(df, x) for x in ("key", "at", "place"))
+    table = df.sparkSession.createDataFrame(pa.table({at: np.arange(size, dtype=np.int32), place: lookup_table(names, size)}))
+    keyed = df.withColumn(own, slot(df[f"`{key}`"], size)).drop(slot_col, shard_col)
+    placed = keyed.join(F.broadcast(table), keyed[own] == table[at])  # the table has `size` rows, whatever df has
+    return placed.withColumns({slot_col: F.col(own), shard_col: F.col(place)}).drop(own, at, place)

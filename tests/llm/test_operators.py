@@ -401,6 +401,16 @@ def test_line_dedup_of_a_hot_line(spark, monkeypatch):
         assert sorted(line_dedup.line_dedup(docs).collect()) == want
 
 
+def test_columns_in_passing_never_clash(spark):
+    names = ["key", "at", "place", "id", "gone", "may", "lines", "kept", "n", "slot_", "kept_text"]
+    docs = spark.createDataFrame([(1, "x\ny", *names)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    out = sharding.assign_shards(docs).first()
+    assert all(out[n] == n for n in names) and out.shard is not None
+    gone = spark.createDataFrame([], "doc_id long, gone array<binary>")
+    out = line_dedup.without_lines(docs, gone, "doc_id", "text").first()
+    assert all(out[n] == n for n in names if n != "kept_text") and out.kept_text == "x\ny"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p><p>no";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav><!-- <p>no</p> -->
 <div class="cookie-notice">We use cookies</div><div class=ad>Buy</div>
