@@ -18,7 +18,6 @@ token ids. An empty table gives empty folders of the same schema.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,25 +141,14 @@ def read_segments(spark: SparkSession, path: str) -> DataFrame:
     return blocks.join(index, ["part", "block"]).mapInArrow(run, "doc_id long, at long, part int, n_tokens long, offset long, length int, ids binary")
 
 
-def crc_join(pieces: list[tuple[int, int]]) -> int:
-    """CRC-32 of parts joined, from (CRC-32, bytes) of each."""
-    total = 0
-    for crc, n in pieces:
-        while n > 0:  # the sum so far, moved on by n zero bytes
-            step = bytes(min(n, 1 << 20))
-            total = zlib.crc32(step, total) ^ zlib.crc32(step)
-            n -= len(step)
-        total ^= crc
-    return total
-
-
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the written files."""
     segments = read_segments(spark, path)
-    pieces = segments.select("doc_id", "part", "at", "n_tokens", "offset", "length", F.crc32("ids").alias("crc"))
-    by_doc = pieces.groupBy("part", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "length", "crc"))).alias("p"))
-    joined = F.udf(lambda p: crc_join([(x["crc"], 4 * x["length"]) for x in p]), "long")
-    crc = F.when(F.size("p") == 1, F.col("p")[0]["crc"]).otherwise(joined("p"))
+    rest = F.when(F.col("length") < F.col("n_tokens"), F.col("ids"))  # of documents that lie in several blocks: about one a block
+    pieces = segments.select("doc_id", "part", "at", "n_tokens", "offset", F.crc32("ids").alias("crc"), rest.alias("ids"))
+    by_doc = pieces.groupBy("part", "at").agg(F.first("doc_id").alias("doc_id"), F.first("n_tokens").alias("n_tokens"), F.sort_array(F.collect_list(F.struct("offset", "crc", "ids"))).alias("p"))
+    joined = F.aggregate("p", F.lit(b""), lambda all_, x: F.concat(all_, x["ids"]))
+    crc = F.when(F.size("p") == 1, F.col("p")[0]["crc"]).otherwise(F.crc32(joined))
     # one row a part: as many as shuffle partitions
     ends = _read(spark, path, "segment").groupBy("part").agg(F.max(F.col("at") + F.col("n_tokens")).alias("n"))
     ends = ends.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")

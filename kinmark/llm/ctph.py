@@ -136,8 +136,8 @@ def with_next(df: DataFrame, id_col: str, text_col: str, visit, schema: str) ->
     docs = C.id_text(df, id_col, text_col).withColumn("at", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     n = C.n_partitions(docs)
     splits = C.id_splits(docs, n, "at")
-    bucket = F.udf(lambda x: bisect_right(splits, x), "int")
-    starts = {r[0]: r[1] for r in docs.groupBy("at").agg(F.lit(1)).select(bucket("at").alias("b"), "at").groupBy("b").agg(F.min("at")).collect()}
+    bucket = F.size(F.filter(F.array(*map(F.lit, splits)).cast("array<bigint>"), lambda s: s <= F.col("at")))
+    starts = dict(docs.groupBy(bucket.alias("b")).agg(F.min("at")).collect())  # a row a range
     order = sorted(starts)
     before = {starts[b]: order[i - 1] for i, b in enumerate(order)}
 

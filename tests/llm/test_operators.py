@@ -165,6 +165,28 @@ def test_sharding():
         sharding.lookup_table(["a"], 10)
 
 
+def plain_filling(names, size):
+    """Every shard's whole order of preference, and turns until no slot is free."""
+    orders = []
+    for name in names:
+        digest = hashlib.md5(name.encode()).hexdigest()
+        offset, step = int(digest[:16], 16) % size, int(digest[16:], 16) % (size - 1) + 1
+        orders.append([(offset + i * step) % size for i in range(size)])
+        assert sorted(orders[-1]) == list(range(size))
+    owner = {}
+    while len(owner) < size:
+        for shard, order in enumerate(orders):
+            if len(owner) < size:
+                owner[next(s for s in order if s not in owner)] = shard
+    return [owner[s] for s in range(size)]
+
+
+@pytest.mark.parametrize(("n", "size"), [(1, 7), (3, 11), (7, 101), (64, 997)])
+def test_sharding_table_by_plain_filling(n, size):
+    names = [f"shard-{i:05d}" for i in range(n)]
+    assert sharding.lookup_table(names, size).tolist() == plain_filling(names, size)
+
+
 def test_sharding_query(spark, root):
     table = sharding.lookup_table([f"shard-{i:05d}" for i in range(64)])
     for i, (slot, shard) in got(spark, "op3_sharding", root)[0].items():
@@ -219,6 +241,46 @@ def test_fingerprints(spark, root):
         assert found[i] == (len(t), sha(edited), a, b, ctph.likeness(a, b), ctph.likeness(a, c))
 
 
+def plain_likeness(a, b):
+    """By a table of edit distances with insertions and deletions, symbol by symbol."""
+    if a == b:
+        return 1.0
+    sides = []
+    for x in (a, b):
+        size, *parts = x.split(":")
+        sides.append({int(size) * 2**i: [p[k : k + 2] for k in range(0, len(p), 2)] for i, p in enumerate(parts)})
+    common = sorted(set(sides[0]) & set(sides[1]))
+    if not common or not sides[0][common[0]] or not sides[1][common[0]]:
+        return 0.0
+    x, y = sides[0][common[0]], sides[1][common[0]]
+    row = list(range(len(y) + 1))
+    for i, p in enumerate(x, 1):
+        new = [i]
+        for j, q in enumerate(y, 1):
+            new.append(row[j - 1] if p == q else 1 + min(row[j], new[-1]))
+        row = new
+    return 1 - row[-1] / (len(x) + len(y))
+
+
+def test_likeness_by_plain_edit_distance():
+    rng = np.random.default_rng(8)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, 5))) for _ in range(400)]
+    base = [str(x) for x in rng.choice(vocabulary, 900)]
+    texts = ["", "a", "ab", " ".join(base)]
+    for _ in range(40):
+        copy = list(base[: int(rng.integers(5, 900))])
+        for at in rng.integers(0, len(copy), int(rng.integers(0, 30))):
+            copy[at] = "new"
+        texts.append(" ".join(copy))
+    prints = [ctph.fingerprint(t) for t in texts]
+    between = 0
+    for a in prints:
+        for b in prints:
+            assert ctph.likeness(a, b) == pytest.approx(plain_likeness(a, b))
+            between += 0 < ctph.likeness(a, b) < 1
+    assert between > 100
+
+
 def test_fingerprint_follows_content():
     rng = np.random.default_rng(0)
     text = " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(3000))
@@ -314,11 +376,6 @@ def test_small_blocks_round_trip(spark, awkward, tmp_path):
         assert small == got(spark, "op6_token_planes", awkward)[0]
 
 
-def test_crc_join():
-    parts = [b"abc", b"", b"x" * 1000, b"12345"]
-    assert bitplane.crc_join([(zlib.crc32(p), len(p)) for p in parts]) == zlib.crc32(b"".join(parts))
-
-
 @pytest.fixture(scope="module")
 def tik():
     import tiktoken
@@ -482,6 +539,20 @@ def test_machine_learns_pairs():
     assert ((model.margin(4000, row, col) > 0) == label).mean() > 0.95
 
 
+def test_margin_by_the_sum_over_pairs():
+    """The machine's score against bias + weights + every pair of features, one by one."""
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(np.arange(10), 0.3, rng.normal(size=20), rng.normal(size=(20, 4)))
+    sets = [sorted(rng.choice(20, int(rng.integers(0, 9)), replace=False).tolist()) for _ in range(30)]
+    want = []
+    for features in sets:
+        total = 0.3 + sum(model.weight[i] for i in features)
+        total += sum(float(model.factor[i] @ model.factor[j]) for k, i in enumerate(features) for j in features[:k])
+        want.append(total)
+    row, feature = (np.array(x, int) for x in zip(*[(r, f) for r, fs in enumerate(sets) for f in fs], strict=True))
+    assert model.margin(30, row, feature) == pytest.approx(want)
+
+
 def test_toxicity_awkward(spark, awkward):
     found, rows = got(spark, "op10_toxicity", awkward)
     assert len(rows) == len(awkward_rows()) and all(0 <= x[1] <= 1 for x in found.values())
