@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from xml.etree import ElementTree
 
@@ -62,8 +61,9 @@ def rich_text(content: pd.Series, ext: pd.Series) -> pd.Series:
     return pd.Series([None if c is None else docx_text(c) if e == ".docx" else pdf_text(c) for c, e in zip(content, ext, strict=True)])
 
 
-def object_key(user_id: int, unique: str, name: str) -> str:
-    return f"users/{user_id}/{unique}_{re.sub(r'[/\\\\]', '_', name)}"
+def object_keys(user_id: Column, name: Column, content: Column) -> Column:
+    """users/<id>/<hash of the content>_<name>: the same file of a user has the same key, and is one object."""
+    return F.concat(F.lit("users/"), user_id.cast("string"), F.lit("/"), F.md5(content), F.lit("_"), F.regexp_replace(name, r"[/\\\\]", "_"))
 
 
 def write_objects(files: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -71,9 +71,7 @@ def write_objects(files: DataFrame, path: str, max_bytes: int = MAX_BYTES) -> Da
 
     Returns (user_id, name, key, error) of all of them; files over max_bytes are not stored and have an error and no key.
     """
-    clean = F.regexp_replace("name", r"[/\\\\]", "_")
-    key = F.concat(F.lit("users/"), F.col("user_id").cast("string"), F.lit("/"), F.md5("content"), F.lit("_"), clean)
-    fits = F.octet_length("content") <= max_bytes
+    key, fits = object_keys(F.col("user_id"), F.col("name"), F.col("content")), F.octet_length("content") <= max_bytes
     files.filter(fits).select("user_id", key.alias("key"), "name", "content").write.mode("append").partitionBy("user_id").parquet(path)
     return files.select("user_id", "name", F.when(fits, key).alias("key"), F.when(~fits, "file too large").alias("error"))
 

@@ -52,8 +52,11 @@ def analysis_job(submissions: DataFrame, out_path: str, checkpoint: str):
 
 
 def file_submissions(pairs: DataFrame, files: DataFrame) -> DataFrame:
-    """(pair_id, mode, text_a, text_b) of pairs (pair_id, mode, path_a, path_b), with texts from files (path, text, error)."""
-    out = pairs
+    """(pair_id, mode, text_a, text_b) of pairs (pair_id, mode, path_a, path_b), with texts from files (path, text).
+
+    A path that stands twice in files, as that of a file that was uploaded twice, counts once.
+    """
+    out, files = pairs, files.dropDuplicates(["path"])
     for x in "ab":
         out = out.join(files.select(F.col("path").alias(f"path_{x}"), F.col("text").alias(f"text_{x}")), f"path_{x}", "left")
     return out.select("pair_id", "mode", "text_a", "text_b")

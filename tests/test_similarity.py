@@ -13,7 +13,7 @@ from kinmark.functions import text as T
 from kinmark.functions.lexicon import STOP_WORDS, tfidf_stop_words
 from kinmark.operators import candidates, semantic, service, similarity
 from kinmark.plans import catalogue
-from kinmark.sources import files
+from kinmark.sources import files, ingest
 from kinmark.streaming import jobs
 
 PAIRS = [
@@ -321,6 +321,26 @@ def test_write_objects(spark, tmp_path):
     assert {(r.key, bytes(r.content)) for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {(got[1, "a/b.txt"][0], b"one"), (got[2, "c.txt"][0], b"two")}
 
 
+def test_ingest(spark, tmp_path):
+    """Checks in their order, files, rows and states of what is accepted, and the analysis of it."""
+    users = spark.createDataFrame([(1, "free"), (2, "pro")], "id long, plan string")
+    before = spark.createDataFrame([(1, "2024-05-01 08:00:00")] * 3, "user_id long, created_at string")
+    text, code = b"some words of a text", b"def f(x):\n    return x"
+    rows = [(i, u, m, n1, c1, n2, c2, f"2024-05-01 10:00:0{i}") for i, (u, m, n1, c1, n2, c2) in enumerate([
+        (1, "text", "a.txt", text, "b.TXT", text), (1, "image", "a.txt", text, "b.txt", text), (1, "code", "a.py", code, "b.txt", text),
+        (1, "code", "a.py", code, "b.py", code), (2, "code", "x/a.py", code, "b.py", b"y" * 11_000_000), (2, "code", "x/a.py", code, ".py", code), (2, "code", "x/a.py", code, "b.py", code)])]
+    uploads = spark.createDataFrame(rows, "id long, user_id long, mode string, name1 string, content1 binary, name2 string, content2 binary, created_at string")
+    uploads, before = (d.withColumn("created_at", F.col("created_at").cast("timestamp")) for d in (uploads, before))
+    out = {r.id: (r.code, r.error) for r in ingest.ingest(uploads, before, users, f"{tmp_path}/in").collect()}
+    assert out == {0: (None, None), 1: (422, "unknown mode"), 2: (422, "file type not allowed"), 3: (429, "daily limit reached"), 4: (413, "file too large"), 5: (422, "file type not allowed"), 6: (None, None)}
+    subs = spark.read.parquet(f"{tmp_path}/in/submissions")
+    objects = spark.read.parquet(f"{tmp_path}/in/objects").select(F.col("key").alias("path"), F.col("content").cast("string").alias("text"))
+    pairs = subs.select(F.col("id").alias("pair_id"), "mode", F.col("file1_path").alias("path_a"), F.col("file2_path").alias("path_b"))
+    reports = similarity.unified_report(jobs.file_submissions(pairs, objects)).collect()
+    assert {r.pair_id: r.final_similarity for r in reports} == {0: 1.0, 6: 1.0}
+    assert {(r.submission_id, r.status) for r in spark.read.parquet(f"{tmp_path}/in/status").collect()} == {(0, "pending"), (6, "pending")}
+
+
 def test_extensions(spark):
     names = {"a.py": ".py", ".py": "", "x/.py": "", "a.b.TXT": ".txt", "..py": "", "..a.py": ".py", "a": "", "a.": ".", "x.y/a": "", "a..c": ".c"}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", service.extension(F.col("n")).alias("e")).collect()
