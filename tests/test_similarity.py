@@ -245,7 +245,8 @@ def test_short_texts_share_a_class_only_if_equal(spark):
 
 def test_topk_in_blocks(spark, sf, monkeypatch):
     whole = sorted(map(tuple, semantic.cosine_topk(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()))
-    monkeypatch.setattr(semantic, "BLOCK", 7)
+    monkeypatch.setattr(semantic, "BLOCK", 2)
+    monkeypatch.setattr(semantic, "CHUNK", 9)
     assert sorted(map(tuple, semantic.cosine_topk(spark.read.parquet(f"{sf}/embeddings.parquet")).collect())) == whole
 
 
