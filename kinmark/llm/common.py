@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import BASE, BASE2, BLOCK, SPACES, Chunk, chunks, gram_hashes, mixed, powers, run_hashes, spans, word_hashes  # noqa: F401
-from ..storage import n_partitions, remove_path, shared_dir, stored  # noqa: F401
+from ..storage import n_partitions, remove_path, shared_dir, size_in_bytes, stored  # noqa: F401
 
 
 def whole_text_batches(spark: SparkSession) -> None:

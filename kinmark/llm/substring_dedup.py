@@ -15,7 +15,8 @@ document with a smaller id; the words under repeats go. Four steps:
    first of the stretches that hold it, so no repeat is lost.
 4. Merge. The repeats of a document join into maximal intervals, which are cut from the whole text.
 
-A full bitmap lets everything through, which costs shuffle but changes no result; its size is a parameter.
+A full bitmap lets everything through, which costs shuffle but changes no result. It grows with the input's size up to
+2**MOST_BITS bits, or is as large as `sieve_bits` says.
 
 Nulls: a null text has no words; a null id is unordered, so its text is returned whole and takes nothing from others.
 Empty texts and texts shorter than a window lose nothing. Rows that repeat an id are each judged against smaller ids
@@ -35,7 +36,13 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 50
-SIEVE_BITS = 25
+#: The sieves have 2**20 to 2**MOST_BITS bits: at most 32 MB each in a worker.
+MOST_BITS = 28
+
+
+def fitting_bits(n_bytes: int) -> int:
+    """Sieve bits for an input of that size: about one for each two bytes, which is over twenty for an anchor."""
+    return min(MOST_BITS, max(20, (n_bytes // 2).bit_length()))
 
 
 def _anchors(words: np.ndarray, room: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,9 +64,10 @@ def _firsts_hash(c1: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return C.mixed(c1.view(np.uint64) ^ C.mixed(ids.view(np.uint64)))
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, sieve_bits: int = SIEVE_BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int = WINDOW, sieve_bits: int | None = None) -> DataFrame:
     """(doc_id, text_key, runs): for each text, runs (start, n) of n windows in a row that start in a smaller id too."""
     spread = docs.sparkSession.sparkContext.broadcast
+    sieve_bits = sieve_bits or fitting_bits(C.size_in_bytes(docs))
 
     def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +150,7 @@ def intervals(runs: list[tuple[int, int]], window: int) -> list[tuple[int, int]]
     return out
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sieve_bits: int = SIEVE_BITS) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, sieve_bits: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept_text, kept_sha256): each text without the words of repeated windows.
 
     removed holds the intervals [from, to) of words that were cut. Only texts that may have a repeat are shuffled, to
