@@ -6,9 +6,10 @@ k-gram: every shared span of `window` words or more is found. Documents' fingerp
 each meeting is extended to the whole window (checked by a 128-bit hash), and windows that overlap or touch make up
 the full span. Items shorter than a window are looked up by their own length.
 
-The benchmark comes in blocks of about `block_bytes` of text. A block's index (under 10 times that) is broadcast and
-the documents are read past it once, without a shuffle; a benchmark of one block, as usual, means one pass. With more
-blocks, a document's findings in each are brought together by its id.
+The benchmark comes in blocks of about `block_bytes` of text; items of over a quarter of that are cut into parts that
+overlap by a window less a word, so no window is lost and no block is larger. A block's index (under 10 times its text) is
+broadcast and the documents are read past it once, without a shuffle; a benchmark of one block, as usual, means one pass.
+With more blocks, a document's findings in each are brought together by its id.
 
 Words: A-Z lower-cased, then runs of letters a-z, digits and non-ASCII characters. Null and empty texts have no words:
 such a document is clean, such an item is in no document. Repeated rows and ids are each judged alone; items that share
@@ -157,18 +158,53 @@ def _joined(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def parts_of(text: str, window: int, most: int) -> Iterator[str]:
+    """A text of over `most` bytes in parts of about that many, which together have its windows of words and no others."""
+    data = text.encode("utf-8", "surrogatepass")
+    if len(data) <= most:
+        yield text
+        return
+    data = data.translate(FOLD)
+    separator = np.zeros(256, np.bool_)
+    separator[32] = True
+    starts, ends = C.spans(np.frombuffer(data, np.uint8), separator)
+    i, n = 0, len(starts)
+    if n < window:
+        yield text
+    while i + window <= n:
+        j = max(i + window, int(np.searchsorted(ends, starts[i] + most, "right")))
+        yield data[starts[i] : ends[j - 1]].decode("utf-8", "surrogatepass")
+        i = n if j == n else j - window + 1
+
+
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated, spans, items) for every row of df."""
     spark = df.sparkSession
     docs = C.id_text(df, id_col, text_col).select("doc_id", "text", C.row_key())
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
-    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for part in parts_of(text, window, block_bytes // 4):
+                    yield pa.RecordBatch.from_arrays([pa.array([item], pa.string()), pa.array([part], pa.string())], ["item", "text"])
+
+    size, longest = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
+    blocks = max(1, math.ceil((size or 0) / block_bytes))
+    if (longest or 0) > block_bytes // 4:
+        items = items.mapInArrow(cut, "item string, text string")
+    if blocks > 1:  # one look at the benchmark; each block is read alone
+        path = C.shared_dir(spark)
+        items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).write.partitionBy("block").parquet(path)
+        items = spark.read.schema("item string, text string, block long").parquet(path)
     parts = []
     for i in range(blocks):
-        held: dict[str, list[str]] = {}
-        for row in items.filter(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(blocks)) == i).toLocalIterator():
+        held: dict[str | None, list[str]] = {}
+        for row in (items.filter(F.col("block") == i) if blocks > 1 else items).toLocalIterator():
             held.setdefault(row["item"], []).append(row["text"])
         parts.append(_match(docs, spark.sparkContext.broadcast(Index(held, window))))
+    if blocks > 1:
+        C.remove_path(spark, path)
     if blocks == 1:
         found = parts[0].withColumns({"spans": F.array("spans"), "items": F.array("items"), "times": F.lit(1)})
     else:

@@ -117,7 +117,7 @@ def batch_count(n_docs: int) -> int:
 
 
 def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
-    """(doc_id, gone): for each id that loses lines, the hashes of their keys."""
+    """(doc_id, gone): for each id that loses lines, the hashes of their keys; written to shared storage."""
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).filter("doc_id is not null")
     splits = C.id_splits(docs, batches or batch_count(docs.count()))
@@ -139,7 +139,9 @@ def repeated_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int = M
     runs.close()
     least = (often.agg(F.sum("n")).first()[0] or 0) / HOT
     gone = [keys.join(side.select("key", "last"), "key") for side in (F.broadcast(often.filter(F.col("n") > least)), often.filter(F.col("n") <= least).hint("merge"))]
-    return gone[0].unionByName(gone[1]).filter("doc_id < last").groupBy("doc_id").agg(F.collect_set("key").alias("gone"))
+    out = C.stored(gone[0].unionByName(gone[1]).filter("doc_id < last").groupBy("doc_id").agg(F.collect_set("key").alias("gone")))
+    C.remove_path(spark, root)
+    return out
 
 
 def without_lines(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, out_col: str = "kept_text", n_col: str = "n_lines", dropped_col: str = "n_dropped", hashes: str = "gone") -> DataFrame:
@@ -162,5 +164,5 @@ def without_lines(df: DataFrame, gone: DataFrame, id_col: str, text_col: str, ou
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int | None = None, fanout: int = FANOUT) -> DataFrame:
     """(doc_id, n_lines, n_dropped, kept_text) of every row."""
     docs = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    gone = C.stored(repeated_lines(docs, "doc_id", "text", min_chars, min_docs, batches, fanout))
+    gone = repeated_lines(docs, "doc_id", "text", min_chars, min_docs, batches, fanout)
     return without_lines(docs, gone, "doc_id", "text").select("doc_id", "n_lines", "n_dropped", "kept_text")

@@ -180,8 +180,8 @@ def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def connected(edges: DataFrame) -> DataFrame:
     """(id, component): each linked id and the smallest id it reaches, by alternating large-star and small-star steps."""
-    edges = C.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
+    spark, path, before = edges.sparkSession, C.shared_dir(edges.sparkSession), None
+    edges = C.stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), path)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -189,7 +189,9 @@ def connected(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col("m").alias("v")) for x in "uv"])).alias("e"))
         small = small.select("e.u", "e.v").filter("u <> v").distinct()
-        edges = C.stored(small)
+        old, path = path, C.shared_dir(spark)
+        edges = C.stored(small, path)
+        C.remove_path(spark, old)
         # stars that point to their smallest member don't change any more: same rows, same sums
         now = edges.agg(F.count("*"), F.sum("u"), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:

@@ -221,6 +221,18 @@ def test_decontamination(spark, root):
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()} == want
 
 
+def test_parts_of_a_giant_item():
+    """The parts have the item's windows, no others, and are of bounded size."""
+    rng = np.random.default_rng(6)
+    w = ["".join(map(chr, rng.integers(97, 123, int(rng.integers(1, 9))))) + "é" * int(rng.integers(0, 2)) for _ in range(700)]
+    windows = lambda x: {tuple(x[k : k + 10]) for k in range(len(x) - 9)}
+    for most in (60, 200, 1000):
+        parts = list(decontam.parts_of(", ".join(w), 10, most))
+        assert set().union(*(windows(p.split()) for p in parts)) == windows(w) and len(parts) > 2
+        assert all(len(p.encode()) <= max(most, 120) for p in parts)
+    assert list(decontam.parts_of("a b", 10, 1)) == ["a b"] and list(decontam.parts_of("", 10, 0)) == [""]
+
+
 @pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 40])
 def test_decontamination_by_items_without_id(spark, block_bytes):
     nameless, short, named = " ".join(f"a{i}" for i in range(12)), "only three words", " ".join(f"b{i}" for i in range(10))
@@ -576,7 +588,7 @@ def test_repeated_and_null_ids(spark, tmp_path, awkward):
             continue
         rows = q(spark, str(tmp_path)).collect()
         assert len(rows) == n + 7, name
-        if name in ("op1_substring_dedup", "op2_simhash", "op4_decontamination", "op7_bpe"):
+        if name in ("op1_substring_dedup", "op2_simhash", "op3_sharding", "op4_decontamination", "op7_bpe", "op8_line_dedup"):
             assert {r[0]: tuple(r[1:]) for r in rows if r[0] is not None} == got(spark, name, awkward)[0], name
 
 

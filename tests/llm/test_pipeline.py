@@ -47,3 +47,40 @@ def test_pipeline_returns_tokens(spark):
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     for r in found.collect():
         assert len(r.ids) == 4 * r.n_tokens and hashlib.sha256(r.ids).hexdigest() == r.ids_sha256
+
+
+def awkward_folder(spark, path, rows, names=("key", "id", "h", "kept_text", "n_lines", "score")):
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"{n} string" for n in names)]))
+    docs.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(12))), (None, "nameless passage here"), (3, None), (4, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return docs.columns
+
+
+def test_pipeline_of_awkward_rows(spark, tmp_path):
+    """Null columns, empty, very long and repeated texts, repeated and null ids, names that the stages use themselves."""
+    line = "this line is repeated and it has over forty characters"
+    passage = " ".join(f"b{i}" for i in range(12))
+    words = lambda a, n: " ".join(f"{a}{i * i % 997}" for i in range(n))
+    rows = [(1, None), (2, ""), (3, words("x", 300)), (4, words("x", 300)), (5, f"{words('y', 40)} {passage} end"), (6, f"a nameless passage here {words('z', 50)}")]
+    rows += [(10 + i, f"{line}\n{words(chr(97 + i), 60)}") for i in range(6)] + [(30, words("q", 80)), (30, words("q", 80)), (30, words("r", 80))]
+    rows += [(None, words("s", 70)), (None, None), (None, f"{line} {passage}"), (40, "word " * 60_000)]
+    columns = awkward_folder(spark, tmp_path, [(*r, None, None, None) for r in rows])
+    docs, kept = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept.append(sorted((r.doc_id if r.doc_id is not None else -1) for r in docs.select("doc_id").collect()))
+        assert name == "byte_bpe" or docs.columns == columns
+    every = sorted(i if i is not None else -1 for i, _ in rows)
+    assert kept[0] == every and kept[1] == every  # no labels to speak of: all stay; lines go, documents don't
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/line_dedup").filter("doc_id between 10 and 15").collect()}
+    assert [line in texts[10 + i] for i in range(6)] == [False] * 5 + [True]
+    assert {2, 4}.isdisjoint(kept[2]) and {1, 3} <= set(kept[2]) and kept[2].count(30) == 3 and kept[2].count(-1) == 3
+    assert {5, 6}.isdisjoint(kept[3]) and kept[3].count(-1) == 2 and set(kept[3]) | {5, 6} == set(kept[2]) and kept[4] == kept[3]
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == kept[4]
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    awkward_folder(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
