@@ -19,37 +19,52 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorization machine scores below TOXIC; the model comes from the labelled input documents."""
+    """Documents that the factorization machine scores below TOXIC; the model comes from the labelled input documents.
+
+    Rows are judged by their text alone, so repeated and null ids change nothing; null and empty texts have the bias's score.
+    """
     model = toxicity_model(spark, sf_dir)
     return docs.filter(toxicity.score_column(docs, model, F.col("text")) < TOXIC)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; n_chars follows the text where it is known. A null text stays null."""
-    gone = common.stored(line_dedup.repeated_lines(docs, "doc_id", "text"))
-    out = line_dedup.without_lines(docs, gone, "doc_id", "text", "__kept_text", "__n", "__dropped")
-    changed = F.col("__dropped") > 0
-    out = out.withColumns({"text": F.when(changed, F.col("__kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("__kept_text").cast("long")).otherwise(F.col("n_chars"))})
-    return out.select(*docs.columns)
+    """Documents without their repeated lines; n_chars, if it is there, follows the text. A null text stays null.
+
+    Rows that repeat an id are one document to the count of lines, and each loses its lines; rows without an id lose none.
+    """
+    gone = line_dedup.repeated_lines(docs, "doc_id", "text")
+    kept, n, dropped = (common.unused(docs, x) for x in ("kept_text", "n_lines", "n_dropped"))
+    out = line_dedup.without_lines(docs, gone, "doc_id", "text", kept, n, dropped)
+    changed, new = F.col(dropped) > 0, {"text": F.when(F.col(dropped) > 0, F.col(kept)).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length(kept).cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns(new).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of linked fingerprints; rows without an id stay."""
+    """The document with the smallest id of each class of linked fingerprints; rows without an id stay.
+
+    Rows that repeat an id are one document: all of them stay or go. Null and empty texts are alike, so one of them stays.
+    """
     classes = simhash.simhash_classes(docs)
     extra = classes.filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(extra, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(extra, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with the benchmark."""
+    """Documents that share no window with the benchmark, whether its items have ids or not.
+
+    Rows are judged by their text, so of rows that repeat an id or have none some can go; null and empty texts stay.
+    """
     found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    own_id, own_key = common.unused(docs, "id"), common.unused(docs, "key")
+    bad = found.filter("contaminated").select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
     text_key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (text_key == F.col("__key")), "left_anti").select(*docs.columns)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(own_id)) & (text_key == F.col(own_key)), "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids (little-endian uint32) of each document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids (little-endian uint32) of each row; null texts have no ids."""
     decoded = bpe.encode(docs, MULTI_RANKS, public_tokenizers.PATTERN, decoded=True)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
