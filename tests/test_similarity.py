@@ -342,6 +342,23 @@ def test_ingest(spark, tmp_path):
     assert {(r.submission_id, r.status) for r in spark.read.parquet(f"{tmp_path}/in/status").collect()} == {(0, "pending"), (6, "pending")}
 
 
+def test_report_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5), (2, None)], "id long, score double")
+    for kind in ("parquet", "json"):
+        files.write_reports(rows, f"{tmp_path}/{kind}", kind)
+        files.write_reports(rows.limit(1), f"{tmp_path}/{kind}", kind)
+        got = spark.read.format(kind).schema(rows.schema).load(f"{tmp_path}/{kind}")
+        assert got.count() == 3 and got.filter("id = 2 and score is null").count() == 1
+
+
+def test_database_table(spark, tmp_path):
+    """Through the database that comes with Spark; written and read in parallel by a range of ids."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    spark.range(20).selectExpr("id", "concat('s', id) AS name").write.jdbc(url, "submissions", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    got = files.read_table(spark, url, "submissions", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", partitionColumn="id", lowerBound="0", upperBound="20", numPartitions="4")
+    assert got.rdd.getNumPartitions() == 4 and [tuple(r) for r in got.filter("id >= 18").orderBy("id").collect()] == [(18, "s18"), (19, "s19")]
+
+
 def test_extensions(spark):
     names = {"a.py": ".py", ".py": "", "x/.py": "", "a.b.TXT": ".txt", "..py": "", "..a.py": ".py", "a": "", "a.": ".", "x.y/a": "", "a..c": ".c"}
     rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", service.extension(F.col("n")).alias("e")).collect()
