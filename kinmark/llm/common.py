@@ -56,6 +56,23 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
+#: A key with over 1 / HOT of the rows is a hot one; there are fewer than HOT of them.
+HOT = 10_000
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], n: str = "n") -> DataFrame:
+    """rows joined with keys, which has each of its keys once and tells in `n` how many rows that has.
+
+    Hot keys are broadcast to the rows, so none of their rows is shuffled; the other rows meet their keys by a shuffle.
+    Both frames are read several times: they should lie in storage.
+    """
+    least = (keys.agg(F.sum(n)).first()[0] or 0) / HOT
+    hot, others = keys.filter(F.col(n) > least).drop(n), keys.filter(F.col(n) <= least).drop(n)
+    near = rows.join(F.broadcast(hot), on)  # fewer than HOT rows
+    far = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(others.hint("merge"), on)
+    return near.unionByName(far)
+
+
 # -- bitmaps of a fixed size ----------------------------------------------------------------------------------------
 
 

@@ -109,8 +109,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, sieve_bits: int | No
 
     keyed = own.select("doc_id", "text", C.row_key())
     rows = C.stored(keyed.mapInArrow(stretch_rows, "anchor long, c1 long, c2 long, doc_id long, text_key long, start int, n int"))
-    least = C.stored(rows.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("least")))
-    whole = rows.join(least, ["anchor", "c1", "c2"]).filter("least < doc_id").select("doc_id", "text_key", "start", "n")
+    least = C.stored(rows.groupBy("anchor", "c1", "c2").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")))
+    whole = C.meet(rows, least.filter("held > 1"), ["anchor", "c1", "c2"], "held").filter("least < doc_id").select("doc_id", "text_key", "start", "n")
     several = least.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1")
     firsts = least.join(several, "anchor").select("c1", "least")
 
@@ -132,9 +132,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, sieve_bits: int | No
                     h, row = C.run_hashes(words, each, each + window, C.BASE2, 0), np.repeat(row, n)
                     yield pa.RecordBatch.from_arrays([C.signed(h), C.signed(np.repeat(anchor, n)), pa.array(ids[row]), pa.array(keys[row]), pa.array(start)], ["h", "anchor", "doc_id", "text_key", "start"])
 
-    parts = keyed.mapInArrow(window_rows, "h long, anchor long, doc_id long, text_key long, start int")
-    earliest = parts.groupBy("h", "anchor").agg(F.min("doc_id").alias("least"))
-    part = parts.join(earliest, ["h", "anchor"]).filter("least < doc_id").select("doc_id", "text_key", "start", F.lit(1).alias("n"))
+    parts = C.stored(keyed.mapInArrow(window_rows, "h long, anchor long, doc_id long, text_key long, start int"))
+    earliest = C.stored(parts.groupBy("h", "anchor").agg(F.min("doc_id").alias("least"), F.count("*").alias("held")).filter("held > 1"))
+    part = C.meet(parts, earliest, ["h", "anchor"], "held").filter("least < doc_id").select("doc_id", "text_key", "start", F.lit(1).alias("n"))
     return whole.unionByName(part).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
 

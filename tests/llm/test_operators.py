@@ -91,6 +91,19 @@ def test_substring_dedup(spark, root):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in out.collect()} == want
 
 
+def test_substring_dedup_of_hot_windows(spark, monkeypatch):
+    """Whatever counts as hot, results are the same."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"{f'u{i} ' * (i % 3)}{passage} {' '.join(f'w{i}x{k}' for k in range(70))} {passage if i % 4 == 0 else ''}") for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for hot in (10_000, 1, 10):
+        monkeypatch.setattr(substring_dedup.C, "HOT", hot)
+        got = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(docs).collect())
+        want = want or got
+        assert got == want and [n for _, n, _ in got][1:] == [60 * (1 + (i % 4 == 0)) for i in range(1, 24)]
+
+
 def test_intervals():
     assert substring_dedup.intervals([(7, 1), (0, 2), (60, 1), (57, 1)], 50) == [(0, 110)]
     assert substring_dedup.intervals([(51, 3), (0, 1)], 50) == [(0, 50), (51, 103)]
