@@ -36,7 +36,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 #: Bytes of text whose distinct words are replayed together, and bands of ranks.
-SLICE, BANDS = 1 << 23, 48
+SLICE, BANDS = 1 << 22, 48
 NONE = np.int32(2**31 - 1)
 
 
