@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 800_000
+CACHE = 500_000
 #: Bytes of text that are cut and gathered at a time; a longer text is a slice of its own.
 SLICE = 1 << 24
 #: How the byte-level vocabulary writes bytes: printable ones as they are, the others from U+0100 on in order.
