@@ -40,7 +40,7 @@ def prepare_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def neighbours(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The pairs (d, d + 1) of ids that exist."""
     ids = docs.select(F.col(id_col).alias("id_a"))
-    return ids.join(docs.select(F.col(id_col).alias("id_b")), F.col("id_b") == F.col("id_a") + 1)
+    return ids.join(docs.select(F.col(id_col).alias("id_b")).hint("merge"), F.col("id_b") == F.col("id_a") + 1)
 
 
 def text_scores(pairs: DataFrame, prepared: DataFrame, *fields: str, lemmas: DataFrame | dict[str, str] | None = None) -> DataFrame:
@@ -59,9 +59,12 @@ def tfidf_cosine(pairs: DataFrame, prepared: DataFrame, lemmas: DataFrame | dict
 
 
 def with_sides(pairs: DataFrame, prepared: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs with the columns of both documents, as name_a and name_b."""
+    """pairs with the columns of both documents, as name_a and name_b.
+
+    Neither side is broadcast: Spark goes by the size of the files read, of which prepared columns are many times as large.
+    """
     for x in "ab":
-        pairs = pairs.join(prepared.select(F.col("id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns]), f"id_{x}")
+        pairs = pairs.join(prepared.select(F.col("id").alias(f"id_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in columns]).hint("merge"), f"id_{x}")
     return pairs
 
 
