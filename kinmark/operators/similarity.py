@@ -84,12 +84,12 @@ def compare_texts(pairs: DataFrame) -> DataFrame:
     return text_report(ids, prepare_text(docs)).withColumn("pair_id", (F.col("id_a") / 2).cast("long")).drop("id_a", "id_b")
 
 
-def prepare_code(docs: DataFrame, id_col: str = "doc_id", code_col: str = "text", lang=None) -> DataFrame:
-    """(id, lang, code, words, prints): normalised tokens and winnowing fingerprints, computed once a program."""
+def prepare_code(docs: DataFrame, id_col: str = "doc_id", code_col: str = "text", lang=None, fields: tuple[str, ...] = ("words", "prints")) -> DataFrame:
+    """(id, lang, code, words, prints): normalised tokens and winnowing fingerprints, or the given `fields`, computed once a program."""
     raw = F.coalesce(F.col(code_col), F.lit(""))
     lang = F.coalesce(F.lower(F.nullif(lang, F.lit(""))), K.detect_language(raw)) if lang is not None else K.detect_language(raw)
     out = spread(docs).select(F.col(id_col).alias("id"), lang.alias("lang"), raw.alias("code"))
-    columns = kernels.code_columns(F.col("code"), F.col("lang"), "words", "prints")
+    columns = kernels.code_columns(F.col("code"), F.col("lang"), *fields)
     return out.select("id", "lang", "code", columns.alias("c")).select("id", "lang", "code", "c.*")
 
 

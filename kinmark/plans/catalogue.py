@@ -230,7 +230,7 @@ def part_text_report(spark, sf):
 
 def part_code_lcs(spark, sf):
     d = part_programs(spark, sf)
-    sides = similarity.with_sides(similarity.neighbours(d), similarity.prepare_code(d, lang=F.col("lang")), ["words"])
+    sides = similarity.with_sides(similarity.neighbours(d), similarity.prepare_code(d, lang=F.col("lang"), fields=("words",)), ["words"])
     return sides.select("id_a", "id_b", T.rounded(kernels.code_lcs(F.col("words_a"), F.col("words_b"))).alias("lcs"))
 
 
